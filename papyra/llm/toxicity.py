@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,7 +148,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text, y in zip(b.column(0), b.column(1).to_pylist()):
             words = TOKEN.findall((text.as_py() or "").lower())
-            seen = {(w, hash((p, n)) & 0x3FF) for p, w, n in zip(["", *words[:-1]], words, [*words[1:], ""]) if len(w) > 2}
+            seen = {(w, zlib.crc32(f"{p} {n}".encode()) & 0x3FF) for p, w, n in zip(["", *words[:-1]], words, [*words[1:], ""]) if len(w) > 2}
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64()), pa.array([y] * len(seen), pa.int64())], ["w", "c", "y"])
 
 
