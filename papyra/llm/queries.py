@@ -21,6 +21,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digests, remove_repeats
+
+    return digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_duplicates
 
