@@ -225,13 +225,17 @@ def compare(run: np.ndarray, left: np.ndarray, ctx: list[bytes]) -> tuple[np.nda
 
 
 def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ah: whole runs, about BLOCK rows at a time."""
+    """Rows sorted by ah and ch: whole runs, about BLOCK rows at a time."""
 
     def out(t: pa.Table) -> pa.RecordBatch:
-        ah = t.column("ah").to_numpy()
+        ah, ch = t.column("ah").to_numpy(), t.column("ch").to_numpy()
+        again = (ah[1:] == ah[:-1]) & (ch[1:] == ch[:-1])
+        if again.any():
+            t = t.filter(pa.array(np.concatenate(([True], ~again))))
+            ah, ch = t.column("ah").to_numpy(), t.column("ch").to_numpy()
         lo, hi = compare(np.cumsum(np.concatenate(([0], ah[1:] != ah[:-1]))), t.column("left").to_numpy().astype(np.int64), t.column("ctx").to_pylist())
         some = hi > 0
-        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ah, t.column("ch").to_numpy(), lo, hi)], ["ah", "ch", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ah, ch, lo, hi)], ["ah", "ch", "lo", "hi"])
 
     held = None
     for b in batches:
@@ -264,17 +268,17 @@ def coverage(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     per = distinct.groupBy("ah").agg(F.count("*").alias("k"), F.sum("n").alias("all")).where("all > 1").drop("all")
     distinct = save(distinct.join(per, "ah"), "contexts")
     wanted = distinct.where("k > 1").groupBy("rep.rk").agg(F.collect_list(F.struct("ah", "ch", "rep.pos")).alias("wanted"))
-    # repeated rows have the same text, so any of them will do
-    one = docs.join(wanted, "rk").select("text", "wanted")
-    ctx = save(one.mapInArrow(_contexts, "ah long, ch long, left int, ctx binary").dropDuplicates(["ah", "ch"]), "context-bytes")
+    # a repeated row gives its contexts again; _compare_runs passes over them
+    ctx = docs.join(wanted, "rk").select("text", "wanted").mapInArrow(_contexts, "ah long, ch long, left int, ctx binary")
     hot = distinct.where(F.col("k") > run_limit).select("ah").distinct()
     parts = []
     if hot.limit(1).count():
-        w = ctx.join(hot, "ah", "left_semi").mapInArrow(_windows, "ah long, ch long, d long, h1 long, h2 long")
+        ctx = save(ctx, "context-bytes")
+        w = ctx.join(hot, "ah", "left_semi").dropDuplicates(["ah", "ch"]).mapInArrow(_windows, "ah long, ch long, d long, h1 long, h2 long")
         twice = w.groupBy("ah", "d", "h1", "h2").count().where("count > 1").drop("count")
         parts.append(w.join(twice, ["ah", "d", "h1", "h2"], "left_semi").groupBy("ah", "ch").agg(F.max("d").alias("lo"), (SPAN - F.min("d")).alias("hi")))
         ctx = ctx.join(hot, "ah", "left_anti")
-    parts.append(ctx.repartition("ah").sortWithinPartitions("ah").mapInArrow(_compare_runs, "ah long, ch long, lo long, hi long"))
+    parts.append(ctx.repartition("ah").sortWithinPartitions("ah", "ch").mapInArrow(_compare_runs, "ah long, ch long, lo long, hi long"))
     once = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
     whole = distinct.where("n > 1").select("ah", "ch", F.lit(SPAN).cast("long").alias("lo"), F.lit(SPAN).cast("long").alias("hi"))
     once = once.join(distinct.where("n = 1").select("ah", "ch"), ["ah", "ch"], "left_semi")
