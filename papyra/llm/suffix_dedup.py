@@ -34,13 +34,13 @@ from .common import save
 SPAN = 400
 GRAM = 16
 WIDTH = SPAN - GRAM + 1  # gram positions in a window, and the number of its places around an anchor
-SEGMENT = 1 << 20
-BLOCK = 4096
-RUN_LIMIT = 20_000
+SEGMENT = 1 << 18
+BLOCK = 2048
+RUN_LIMIT = 10_000
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
 
 
-@lru_cache(8)
+@lru_cache(4)
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
     out = []
@@ -59,14 +59,21 @@ def byte_values(base: int) -> np.ndarray:
 class PrefixHash:
     """Polynomial hashes of substrings of data in constant time."""
 
-    def __init__(self, data: np.ndarray, base: int = BASES[0]):
-        size = 1 << max(12, int(len(data)).bit_length())
-        self.up, self.down = powers(base, size)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_values(base)[data] * self.up[: len(data)], out=self.sums[1:])
+    def __init__(self, data: np.ndarray, base: int = BASES[0], starts: np.ndarray | None = None):
+        """starts: where each text begins; powers count from there, so few are needed."""
+        self.at = np.arange(len(data) + 1, dtype=np.int32)
+        if starts is not None:
+            self.at -= np.repeat(starts, np.diff(np.append(starts, len(data) + 1))).astype(np.int32)
+        self.up, self.down = powers(base, 1 << max(12, int(self.at.max()).bit_length()))
+        self.sums = np.empty(len(data) + 1, np.uint64)
+        self.sums[0] = 0
+        terms = byte_values(base)[data]
+        for i in range(0, len(data), SEGMENT):
+            terms[i : i + SEGMENT] *= self.up[self.at[i : i + SEGMENT][: len(data) - i]]
+        np.cumsum(terms, out=self.sums[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.sums[start + length] - self.sums[start]) * self.down[start]
+        return (self.sums[start + length] - self.sums[start]) * self.down[self.at[start]]
 
 
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +190,12 @@ class Suffixes:
         """Common extension of each with the one before, -1 between anchors; None on a hash collision."""
         a, b = self.order[:-1], self.order[1:]
         n = self.common(a, b)
-        if n.sum():
-            row = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        for i in range(0, len(n), BLOCK):
+            m = n[i : i + BLOCK]
+            row = np.repeat(np.arange(i, i + len(m)), m)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
             k = -k - 1 if self.back else k
-            if (self.data[self.at[a][row] + k] != self.data[self.at[b][row] + k]).any():
+            if (self.data[self.at[a[row]] + k] != self.data[self.at[b[row]] + k]).any():
                 return None
         return np.concatenate(([-1], np.where(self.run[a] == self.run[b], n, -1)))
 
@@ -200,7 +208,7 @@ def compare(run: np.ndarray, left: np.ndarray, ctx: list[bytes]) -> tuple[np.nda
     at = np.cumsum(sizes) - sizes + left
     n, ident = len(ctx), np.arange(len(ctx))
     for base in BASES:
-        ph = PrefixHash(data, base)
+        ph = PrefixHash(data, base, at - left)
         ahead, behind = Suffixes(data, ph, at, sizes - left, run, False), Suffixes(data, ph, at, left, run, True)
         near = ahead.neighbours(), behind.neighbours()
         if near[0] is not None and near[1] is not None:
