@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     fs, jpath = _path(spark, path)
     fs.deleteOnExit(jpath)
+    # shuffle files of what is now written go only when the driver's garbage is collected; at this
+    # point they are the larger part of the disk in use
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._papyra_path = path
     return out

@@ -2,7 +2,7 @@
 
 Finding candidates. A window of SPAN bytes is represented by its least hashed GRAM-byte string (the
 leftmost of equals), its anchor. Equal windows have equal anchors at equal offsets, so only windows
-around anchors with one hash need be compared; about one position in 190 is an anchor. An anchor's
+around anchors with one hash need be compared; about one position in 170 is an anchor. An anchor's
 context is what the windows that contain it can reach. Contexts that occur twice are repeats as a
 whole, so only one of each distinct context goes on, and only where its anchor has other contexts.
 
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import save
 
 SPAN = 400
-GRAM = 16
+GRAM = 64
 WIDTH = SPAN - GRAM + 1  # gram positions in a window, and the number of its places around an anchor
 SEGMENT = 1 << 18
 BLOCK = 2048
-RUN_LIMIT = 10_000
+RUN_LIMIT = 16_000
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
 
 
@@ -287,7 +287,7 @@ def coverage(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
         parts.append(w.join(twice, ["ah", "d", "h1", "h2"], "left_semi").groupBy("ah", "ch").agg(F.max("d").alias("lo"), (SPAN - F.min("d")).alias("hi")))
         ctx = ctx.join(hot, "ah", "left_anti")
     parts.append(ctx.repartition("ah").sortWithinPartitions("ah", "ch").mapInArrow(_compare_runs, "ah long, ch long, lo long, hi long"))
-    once = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    once = save(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], "windows")
     whole = distinct.where("n > 1").select("ah", "ch", F.lit(SPAN).cast("long").alias("lo"), F.lit(SPAN).cast("long").alias("hi"))
     once = once.join(distinct.where("n = 1").select("ah", "ch"), ["ah", "ch"], "left_semi")
     cover = whole.unionByName(once.select("ah", "ch", "lo", "hi"))
