@@ -248,11 +248,12 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     yield held
 
 
-def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256 and, unless digests_only, ids and decoded text.
+def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256 and what outputs names: ids, decoded (text).
     vocabulary: a file that every executor has at this path."""
     kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ("" if digests_only else ", ids array<int>, decoded string")
+    extra = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {o} {extra[o][0]}" for o in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
@@ -269,15 +270,12 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                     out["n"].append(len(ids))
                     out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4")).hexdigest())
                     out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
-                    if not digests_only:
-                        out["ids"].append(ids)
-                        out["decoded"].append(text.decode())
+                    for o in outputs:
+                        out[o].append(ids if o == "ids" else text.decode())
                 columns = [part.column(0), pa.array(out["n"], pa.int64()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if not digests_only:
-                    columns += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["decoded"], pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns += [pa.array(out[o], extra[o][1]) for o in outputs]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *outputs])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

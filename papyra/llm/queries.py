@@ -44,7 +44,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import encoded
 
-    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests_only=True)
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=())
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
