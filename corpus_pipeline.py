@@ -55,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids: the tokens, checked by decoding them."""
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("decoded")
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), outputs=("ids",))
 
 
 STAGES = [
