@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: What \s matches in the pattern.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
-CACHE_UNITS = 600_000
-BLOCK_BYTES = 24 << 20
+CACHE_UNITS = 250_000
+BLOCK_BYTES = 12 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
