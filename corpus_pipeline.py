@@ -29,14 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in 400-byte strings that occur elsewhere too go; characters cut in half go whole."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-
-    @F.pandas_udf("string")
-    def as_text(kept):
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    # text that lost nothing is passed on as it was, nulls included
-    out = suffix_dedup.remove_repeats(docs, carry=(*rest, "text"))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, as_text("kept")).otherwise(F.col("text")))
+    out = suffix_dedup.remove_repeats(docs, carry=rest, as_text=True).withColumnRenamed("kept", "text")
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,22 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def trimmed(kernel: Callable) -> Callable:
+    """An Arrow kernel that gives freed memory back to the system at its end: Python workers live on
+    between stages, and what their allocators hold counts against the executor."""
+
+    @functools.wraps(kernel)
+    def run(batches, **options):
+        yield from kernel(batches, **options)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by save() that nothing reads any more."""
     if path := getattr(df, "_papyra_path", None):

@@ -21,7 +21,7 @@ lose nothing. Rows come out as often as they went in; an empty table gives no ro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, trimmed
 
 SPAN = 400
 GRAM = 64
@@ -104,6 +104,7 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(hashes)[first]
 
 
+@trimmed
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["rk", "ah", "ch", "pos", "right"]
     for b in batches:
@@ -232,6 +233,7 @@ def compare(run: np.ndarray, left: np.ndarray, ctx: list[bytes]) -> tuple[np.nda
     return lo, hi
 
 
+@trimmed
 def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by ah and ch: whole runs, about BLOCK rows at a time."""
 
@@ -296,12 +298,14 @@ def coverage(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     return ranges.groupBy("rk").agg(F.collect_set("r").alias("ranges"))
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@trimmed
+def _apply(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
     """(text, ranges, ...) to (n_bytes, n_removed, spans, kept, ...)."""
     for b in batches:
         sizes, removed, spans, kept = [], [], [], []
         for text, ranges in zip(b.column(0), b.column(1).to_pylist()):
-            raw = (text.as_py() or "").encode("utf-8", "replace")
+            own = text.as_py()
+            raw = (own or "").encode("utf-8", "replace")
             merged: list[list[int]] = []
             for s, e in sorted((r["s"], r["e"]) for r in ranges or []):
                 if merged and s <= merged[-1][1]:
@@ -316,24 +320,28 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(raw))
             removed.append(sum(e - s for s, e in merged))
             spans.append([{"s": s, "e": e} for s, e in merged])
-            kept.append(b"".join(left))
+            if as_text:
+                kept.append(b"".join(left).decode("utf-8", "ignore") if merged else own)
+            else:
+                kept.append(b"".join(left))
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *b.columns[2:]],
+            [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string() if as_text else pa.binary()), *b.columns[2:]],
             ["n_bytes", "n_removed", "spans", "kept", *b.schema.names[2:]],
         )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), run_limit: int = RUN_LIMIT) -> DataFrame:
-    """n_bytes, n_removed, spans (maximal removed runs of bytes), kept (the other bytes), id_col and the columns in carry."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), run_limit: int = RUN_LIMIT, as_text: bool = False) -> DataFrame:
+    """n_bytes, n_removed, spans (maximal removed runs of bytes), kept (the other bytes), id_col and the columns in carry.
+    as_text: kept is a string without characters cut in half; a text that lost nothing is as it was, null included."""
     rk = F.xxhash64(F.col(id_col), F.col(text_col))
     cols = [id_col, *carry]
     # narrow names inside, so that a column called text or rk can be carried
     rows = docs.select(rk.alias("__rk"), F.col(text_col).alias("__text"), *cols)
     cover = coverage(rows.select(F.col("__rk").alias("rk"), F.col("__text").alias("text")), run_limit).withColumnRenamed("rk", "__rk")
     types = dict(docs.dtypes)
-    schema = "n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept binary" + "".join(f", `{c}` {types[c]}" for c in cols)
-    return rows.join(cover, "__rk", "left").select("__text", "ranges", *cols).mapInArrow(_apply, schema)
+    schema = "n_bytes long, n_removed long, spans array<struct<s: long, e: long>>, kept " + ("string" if as_text else "binary") + "".join(f", `{c}` {types[c]}" for c in cols)
+    return rows.join(cover, "__rk", "left").select("__text", "ranges", *cols).mapInArrow(partial(_apply, as_text=as_text), schema)
 
 
 def digests(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
