@@ -20,6 +20,7 @@ lose nothing. Rows come out as often as they went in; an empty table gives no ro
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -125,13 +126,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted: [(ah, ch, pos)]) to rows of (ah, ch, left, ctx)."""
+    """(text, wanted: [(ah, ch, pos)]) to rows of (ah, ch, left, ctx). A context is compressed by itself: in a
+    shuffle to many partitions few rows travel together, so the shuffle's own compression hardly acts."""
     for b in batches:
         for text, wanted in zip(b.column(0), b.column(1)):
             raw = (text.as_py() or "").encode("utf-8", "replace")
             w = wanted.values
             pos = w.field("pos").to_pylist()
-            ctx = [raw[max(0, p - WIDTH + 1) : p + SPAN] for p in pos]
+            ctx = [zlib.compress(raw[max(0, p - WIDTH + 1) : p + SPAN], 6, -15) for p in pos]
             left = [min(p, WIDTH - 1) for p in pos]
             yield pa.RecordBatch.from_arrays([w.field("ah"), w.field("ch"), pa.array(left, pa.int32()), pa.array(ctx, pa.binary())], ["ah", "ch", "left", "ctx"])
 
@@ -243,7 +245,7 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if again.any():
             t = t.filter(pa.array(np.concatenate(([True], ~again))))
             ah, ch = t.column("ah").to_numpy(), t.column("ch").to_numpy()
-        lo, hi = compare(np.cumsum(np.concatenate(([0], ah[1:] != ah[:-1]))), t.column("left").to_numpy().astype(np.int64), t.column("ctx").to_pylist())
+        lo, hi = compare(np.cumsum(np.concatenate(([0], ah[1:] != ah[:-1]))), t.column("left").to_numpy().astype(np.int64), [zlib.decompress(c, -15) for c in t.column("ctx").to_pylist()])
         some = hi > 0
         return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ah, ch, lo, hi)], ["ah", "ch", "lo", "hi"])
 
@@ -265,6 +267,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every window of a context as (ah, ch, d, two hashes)."""
     for b in batches:
         for ah, ch, left, ctx in zip(*(c.to_pylist() for c in b.columns)):
+            ctx = zlib.decompress(ctx, -15)
             ds = range(max(0, SPAN - (len(ctx) - left)), left + 1)
             hs = [xxhash.xxh3_128_intdigest(ctx[left - d : left - d + SPAN]) for d in ds]
             split = lambda k: pa.array(np.array([(h >> k) & (1 << 64) - 1 for h in hs], np.uint64).view(np.int64))
