@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
@@ -301,3 +301,46 @@ def hit_test(spark, d):
     """Topmost object whose box holds a point: boxes two units wide, so the join is on the unit."""
     boxes = t(spark, d, "part").select(F.floor(F.col("p_partkey") / 2).alias("o_custkey"), "p_partkey", (F.col("p_size") * 1_000_000 + F.col("p_partkey")).alias("z"))
     return t(spark, d, "orders").join(boxes, "o_custkey").groupBy("o_orderkey").agg(F.max_by("p_partkey", "z").alias("top"))
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, CAST(sum(length(o_orderstatus)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - length(o_orderstatus) AS BIGINT) AS offset FROM orders")
+def drawing_order(spark, d):
+    """Rank by first byte, and where each part begins when all are laid end to end."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    n = F.length("o_orderstatus")
+    before = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - n
+    return t(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rank"), before.cast("long").alias("offset"))
+
+
+@query("SELECT coalesce(s.s_suppkey, p.p_partkey) AS num, CASE WHEN s.s_suppkey IS NOT NULL THEN s.s_name ELSE p.p_name END AS value FROM (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) s FULL JOIN part p ON s.s_suppkey = p.p_partkey")
+def overlay_upsert(spark, d):
+    """Changed objects lie over the file's own; new ones are added."""
+    over = t(spark, d, "supplier").where("s_suppkey % 3 = 0")
+    rows = t(spark, d, "part").join(over, F.col("p_partkey") == F.col("s_suppkey"), "full")
+    value = F.when(F.col("s_suppkey").isNotNull(), F.col("s_name")).otherwise(F.col("p_name"))
+    return rows.select(F.coalesce("s_suppkey", "p_partkey").alias("num"), value.alias("value"))
+
+
+@query("SELECT p_size AS form, array_to_string(list_sort(list(p_partkey)), ' ') AS members FROM part GROUP BY 1")
+def objects_by_form(spark, d):
+    return t(spark, d, "part").groupBy(F.col("p_size").alias("form")).agg(F.array_join(F.sort_array(F.collect_list("p_partkey")).cast("array<string>"), " ").alias("members"))
+
+
+@query("SELECT p_partkey FROM part EXCEPT SELECT s_suppkey FROM supplier")
+def free_objects(spark, d):
+    return t(spark, d, "part").select("p_partkey").subtract(t(spark, d, "supplier").select("s_suppkey"))
+
+
+@query("SELECT 0 AS file, page_id AS page FROM pages UNION ALL SELECT 1, page_id + (SELECT count(*) FROM pages) FROM pages")
+def merge_documents(spark, d):
+    """Pages of the second file follow those of the first."""
+    own = t(spark, d, "pages").select("page_id")
+    n = own.agg(F.count("*").alias("n"))
+    second = own.crossJoin(F.broadcast(n)).select(F.lit(1).alias("file"), (F.col("page_id") + F.col("n")).alias("page"))
+    return own.select(F.lit(0).alias("file"), F.col("page_id").alias("page")).unionByName(second)
+
+
+@query("SELECT p_partkey, concat_ws(', ', CASE WHEN (p_partkey & 4) = 0 THEN 'print' END, CASE WHEN (p_partkey & 8) = 0 THEN 'modify' END, CASE WHEN (p_partkey & 16) = 0 THEN 'extract' END) AS denied FROM part")
+def permissions_describe(spark, d):
+    no = [F.when(F.col("p_partkey").bitwiseAND(F.lit(b)) == 0, n) for b, n in ((4, "print"), (8, "modify"), (16, "extract"))]
+    return t(spark, d, "part").select("p_partkey", F.concat_ws(", ", *no).alias("denied"))
