@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import structure as structure_kernel
 from ..operators import relational as R
-from ..sources import pdf
+from ..sources import pdf, structure
 
 CATALOG: dict[str, tuple] = {}
 
@@ -344,3 +346,113 @@ def merge_documents(spark, d):
 def permissions_describe(spark, d):
     no = [F.when(F.col("p_partkey").bitwiseAND(F.lit(b)) == 0, n) for b, n in ((4, "print"), (8, "modify"), (16, "extract"))]
     return t(spark, d, "part").select("p_partkey", F.concat_ws(", ", *no).alias("denied"))
+
+
+def structured(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each customer: two sections, three form values, a note and an attachment."""
+    kind = "doc_id long, content binary"
+
+    def run(batches):
+        for b in batches:
+            files = [
+                structure_kernel.structured_file(name, [(segment, [name, str(nation)]), ("Späte Ω", [])], {"name": name, "segment": segment, "nation": str(nation)}, f"{name} & <{segment}>", {"note.txt": name.encode()})
+                for name, segment, nation in zip(b["c_name"], b["c_mktsegment"], b["c_nationkey"])
+            ]
+            yield pd.DataFrame({"doc_id": b["c_custkey"], "content": files})
+
+    return t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").mapInPandas(run, kind)
+
+
+@query("""SELECT c_custkey AS doc_id, unnest([c_mktsegment, c_name, CAST(c_nationkey AS VARCHAR), 'Späte Ω']) AS title, unnest(['0', '0.0', '0.1', '1']) AS path,
+CAST(unnest([0, 1, 1, 0]) AS BIGINT) AS depth, CAST(unnest([0, 0, 0, 1]) AS BIGINT) AS page_index FROM customer""")
+def pdf_outline(spark, d):
+    return structure.outlines(structured(spark, d)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "."))
+
+
+@query("SELECT c_custkey AS doc_id, 'note.txt' AS file_name, md5(c_name) AS digest FROM customer")
+def pdf_attachments(spark, d):
+    return structure.attachments(structured(spark, d)).select("doc_id", "file_name", F.md5("body").alias("digest"))
+
+
+@query("SELECT c_custkey AS doc_id, unnest([c_mktsegment, 'Späte Ω']) AS name, unnest([false, true]) AS visible FROM customer")
+def pdf_layers(spark, d):
+    return structure.layers(structured(spark, d)).select("doc_id", "name", "visible")
+
+
+@query("SELECT c_custkey AS doc_id, unnest(['form.name', 'form.segment', 'form.nation']) AS name, 'Tx' AS type, unnest([c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS value, true AS read_only FROM customer")
+def pdf_form_fields(spark, d):
+    return structure.form_fields(structured(spark, d)).select("doc_id", "name", "type", "value", "read_only")
+
+
+@query("""SELECT c_custkey AS doc_id, '<xfdf><fields><field name="form.name"><value>' || c_name || '</value></field><field name="form.nation"><value>' || c_nationkey
+|| '</value></field><field name="form.segment"><value>' || c_mktsegment || '</value></field></fields></xfdf>' AS xfdf FROM customer""")
+def form_xfdf_export(spark, d):
+    return structure.form_xfdf(structure.form_fields(structured(spark, d)))
+
+
+@query("SELECT c_custkey AS doc_id, 'Text' AS subtype, c_name || ' & <' || c_mktsegment || '>' AS contents, CAST(4 AS BIGINT) AS flags FROM customer")
+def pdf_annotations(spark, d):
+    return structure.annotations(structured(spark, d)).select("doc_id", "subtype", "contents", "flags")
+
+
+@query("SELECT c_custkey AS doc_id, false AS signed FROM customer")
+def pdf_signed(spark, d):
+    return structure.signed(structured(spark, d))
+
+
+@query("SELECT l_orderkey, l_linenumber, 0.2126 * l_discount + 0.7152 * l_tax + 0.0722 * 0.5 AS y, CAST(floor(least(greatest(l_discount * 20.0 - 0.5, 0.0), 1.0) * 255.0 + 0.5) AS INTEGER) AS r8 FROM lineitem")
+def luma(spark, d):
+    r8 = F.floor(F.least(F.greatest(F.col("l_discount") * 20.0 - 0.5, F.lit(0.0)), F.lit(1.0)) * 255.0 + 0.5).cast("int")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R.luma(F.col("l_discount"), F.col("l_tax"), F.lit(0.5)).alias("y"), r8.alias("r8"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.03 THEN l_discount * 10.0 WHEN l_discount < 0.07 THEN l_discount * l_discount ELSE 1.0 - l_discount END AS y FROM lineitem")
+def stitch_function(spark, d):
+    """Type 3: each subdomain has a function of its own; its upper bound belongs to the next."""
+    x = F.col("l_discount")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(x < 0.03, x * 10.0).when(x < 0.07, x * x).otherwise(1.0 - x).alias("y"))
+
+
+@query("SELECT p_partkey, CASE WHEN det <> 0 THEN d / det END AS a, CASE WHEN det <> 0 THEN -b / det END AS b, CASE WHEN det <> 0 THEN (c * f - d * e) / det END AS e FROM (SELECT *, a * d - b * c AS det FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, 2.0::DOUBLE AS b, 8.0::DOUBLE AS c, 1.0::DOUBLE AS d, p_retailprice AS e, 5.0::DOUBLE AS f FROM part))")
+def matrix_inverse(spark, d):
+    """Null where the matrix has no inverse (a size of 16 here)."""
+    a, b, c, dd, e, f = F.col("p_size").cast("double"), F.lit(2.0), F.lit(8.0), F.lit(1.0), F.col("p_retailprice"), F.lit(5.0)
+    det = a * dd - b * c
+    ok = lambda v: F.when(det != 0, v / det)
+    return t(spark, d, "part").select("p_partkey", ok(dd).alias("a"), ok(-b).alias("b"), ok(c * f - dd * e).alias("e"))
+
+
+@query("SELECT 'r' || r_regionkey AS node, r_regionkey * 1000 AS place, r_name AS title, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey * 1000 + n_nationkey + 1, n_name, 1 FROM nation")
+def outline_preorder(spark, d):
+    tops = t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), (F.col("r_regionkey") * 1000).alias("place"), F.col("r_name").alias("title"), F.lit(0).alias("depth"))
+    kids = t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), (F.col("n_regionkey") * 1000 + F.col("n_nationkey") + 1).alias("place"), F.col("n_name").alias("title"), F.lit(1).alias("depth"))
+    return tops.unionByName(kids)
+
+
+@query("SELECT page_id, CASE WHEN page_id = 20 THEN 3 WHEN page_id >= 3 AND page_id < 20 THEN page_id + 1 ELSE page_id END AS place FROM pages")
+def reorder_pages(spark, d):
+    """The page at 20 moves to 3; those between make room."""
+    p = F.col("page_id")
+    return t(spark, d, "pages").select("page_id", F.when(p == 20, 3).when((p >= 3) & (p < 20), p + 1).otherwise(p).alias("place"))
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM
+(SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""")
+def events_session(spark, d):
+    from ..streaming.events import sessions
+
+    return sessions(t(spark, d, "events"), "30 minutes")
+
+
+@query("SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events")
+def stream_dedupe(spark, d):
+    from ..streaming.events import deduplicated
+
+    return deduplicated(t(spark, d, "events").select("user_id", "event_type", F.date_trunc("hour", "ts").alias("hour"), "ts"), ["user_id", "event_type", "hour"]).drop("ts")
+
+
+@query("SELECT doc_id, i AS line, CAST(strlen(l) AS BIGINT) AS n_bytes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE contains(l, 'the')")
+def hit_lines(spark, d):
+    """Lines that hold a needle, with the bytes of each."""
+    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    return lines.where(F.contains("l", F.lit("the"))).select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.octet_length("l").cast("long").alias("n_bytes"))

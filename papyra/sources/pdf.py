@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cos import Name, Ref, Stream
 from ..functions.document import Document, operations, runs, text_file
+from ..functions.structure import text_of
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
@@ -62,16 +63,6 @@ def plain(v):
     return [plain(x) for x in v] if isinstance(v, list) else v
 
 
-def decode_text(v) -> str | None:
-    """A text string: UTF-16 by byte order mark, else a character a byte; empty is null."""
-    if not isinstance(v, bytes) or not v:
-        return None
-    for mark, codec in ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
-        if v.startswith(mark):
-            return v[2:].decode(codec, "replace")
-    return v.decode("latin-1")
-
-
 def files(pdfs: DataFrame) -> DataFrame:
     def rows(d: Document):
         info = d.get(d.trailer.get("Info")) if "Info" in d.trailer else None
@@ -79,7 +70,7 @@ def files(pdfs: DataFrame) -> DataFrame:
         claimed = d.field(d.field(root, "Pages"), "Count")
         yield (
             len(d.data), d.version, d.recovery, d.notes, "Encrypt" in d.trailer, len(d.entries), len(d.pages()), claimed if isinstance(claimed, int) else None,
-            *[decode_text(d.field(info, k)) for k in ("Title", "Author", "Subject", "Producer")], len(d.revisions),
+            *[text_of(d.field(info, k)) for k in ("Title", "Author", "Subject", "Producer")], len(d.revisions),
         )
 
     return _table(pdfs, "n_bytes long, version string, recovery string, notes array<string>, encrypted boolean, n_objects long, n_pages long, claimed_pages long, title string, author string, subject string, producer string, n_revisions long", rows)

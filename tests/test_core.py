@@ -79,3 +79,18 @@ def test_catalog(spark, name):
     assert cols == sorted(other.columns)
     rows = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).values.tolist()))
     assert rows(mine) == rows(other)
+
+
+def test_structure_of_odd_files():
+    from papyra.functions import structure as st
+
+    d = Document(st.structured_file("t", [("a", ["b"]), ("c", [])], {"x": "1"}, "n", {"f": b"z"}))
+    assert [x[0] for x in st.outlines(d)] == [[0], [0, 0], [1]] and list(st.fields(d)) == [("form.x", "Tx", 1, "1", True)]
+    loop = text_file(["a"])
+    loop = append_revision(loop, {1: {"Type": cos.Name("Catalog"), "Pages": cos.Ref(2, 0), "Outlines": {"First": cos.Ref(50, 0)}}, 50: {"Title": b"x", "Next": cos.Ref(50, 0), "First": cos.Ref(50, 0)}})
+    assert len(list(st.outlines(Document(loop)))) == 1
+    for bad in (b"", b"no file", text_file([])):
+        assert [list(f(Document(bad))) for f in (st.outlines, st.attachments, st.layers, st.fields, st.annotations)] == [[]] * 5
+    assert not st.signed(d) and st.signed(Document(append_revision(loop, {51: {"FT": cos.Name("Sig"), "V": 1}})))
+    assert st.calculation('AFSimple_Calculate("SUM", new Array ("a", "b"));') == ("SUM", ["a", "b"])
+    assert st.value_range("AFRange_Validate(true, 1, false, 9)") == (1.0, None) and st.value_range("x") is None
