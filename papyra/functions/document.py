@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 from .cos import Name, Op, Reader, Ref, Stream, write
+from .crypto import Handler
 from .filters import decode
 
 _OBJ = re.compile(rb"(?<!\d)(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj")
@@ -18,7 +19,8 @@ SLACK = 4096
 class Document:
     """recovery is Clean, Repaired (bad offsets replaced), Rebuilt (no usable table) or Failed."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: bytes = b""):
+        self.password, self.handler = password, None
         self.data, self.notes, self.entries, self.trailer = data, [], {}, {}
         self.cache: dict[int, object] = {}
         self.packed: dict[int, dict[int, object]] = {}
@@ -195,12 +197,27 @@ class Document:
                 e = self.entries.get(v.num)
                 if e and e[0] == "f":
                     at = self.at_object(v.num, e[1])
-                    self.cache[v.num] = None if at is None else self.object_at(at)
+                    self.cache[v.num] = None if at is None else self.opened(v.num, at)
                 elif e:
                     self.cache[v.num] = self.unpack(e[1]).get(v.num)
             v = self.cache[v.num]
         return None if isinstance(v, Ref) else v
 
+    def opened(self, num: int, at: int):
+        """The object at a place, decrypted where the file is encrypted and the password fits."""
+        v, sealed = self.object_at(at), self.trailer.get("Encrypt")
+        if sealed is None or sealed == Ref(num, 0):
+            return v
+        if self.handler is None:
+            d = self.get(sealed) if isinstance(sealed, Ref) else sealed
+            ids = self.trailer.get("ID")
+            first = ids[0] if isinstance(ids, list) and ids and isinstance(ids[0], bytes) else b""
+            self.handler = Handler(d if isinstance(d, dict) else {}, first, self.password)
+            if not self.handler.valid:
+                self.notes.append("encrypted, and the password does not fit")
+        m = _OBJ.match(self.data, at)
+        return self.handler.turned(v, num, int(m[0].split()[1])) if self.handler.valid and m else v
+
     def field(self, d, key: str):
         v = d.get(key) if isinstance(d, dict) else None
         return self.get(v) if isinstance(v, Ref) else v
@@ -404,13 +421,13 @@ def runs(doc: Document, page: dict) -> Iterator[tuple[str, float, float, float,
             yield "".join(out), at[4], at[5], end[4], end[5], max(1.0, size * scale)
 
 
-def write_file(objects: dict[int, object], root: int, info: int | None = None) -> bytes:
+def write_file(objects: dict[int, object], root: int, info: int | None = None, extra: dict | None = None) -> bytes:
     """A whole file with a classic cross-reference table."""
     out, offsets = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"), {}
     for n in sorted(objects):
         offsets[n] = len(out)
         out += b"%d 0 obj\n" % n + write(objects[n]) + b"\nendobj\n"
-    return bytes(out) + _table(len(out), offsets, max(objects) + 1, {"Root": Ref(root, 0)} | ({"Info": Ref(info, 0)} if info else {}), True)
+    return bytes(out) + _table(len(out), offsets, max(objects) + 1, {"Root": Ref(root, 0)} | ({"Info": Ref(info, 0)} if info else {}) | (extra or {}), True)
 
 
 def append_revision(data: bytes, changed: dict[int, object]) -> bytes:
@@ -436,8 +453,8 @@ def _table(at: int, offsets: dict[int, int], size: int, trailer: dict, free: boo
     return b"".join(lines) + b"trailer\n" + write(trailer | {"Size": size}) + b"\nstartxref\n%d\n%%%%EOF\n" % at
 
 
-def text_file(lines: list[str], per_page: int = 40, title: str = "", compress: bool = True) -> bytes:
-    """A PDF of text lines in Helvetica, one Tj a line."""
+def text_file(lines: list[str], per_page: int = 40, title: str = "", compress: bool = True, seal=None) -> bytes:
+    """A PDF of text lines in Helvetica, one Tj a line. seal: objects to encrypted ones and trailer entries."""
     objects: dict[int, object] = {1: {"Type": Name("Catalog"), "Pages": Ref(2, 0)}, 3: {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}, 4: {"Title": title.encode("latin-1", "replace")}}
     kids = []
     for p in range(0, max(1, len(lines)), per_page):
@@ -447,4 +464,5 @@ def text_file(lines: list[str], per_page: int = 40, title: str = "", compress: b
         objects[n + 1] = Stream({"Filter": Name("FlateDecode")}, zlib.compress(body)) if compress else Stream({}, body)
         kids.append(Ref(n, 0))
     objects[2] = {"Type": Name("Pages"), "Kids": kids, "Count": len(kids), "MediaBox": [0, 0, 612, 792], "Resources": {"Font": {"F1": Ref(3, 0)}}}
-    return write_file(objects, 1, 4)
+    objects, extra = seal(objects) if seal else (objects, {})
+    return write_file(objects, 1, 4, extra)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import structure as structure_kernel
+from ..functions.crypto import sealed
 from ..operators import relational as R
 from ..sources import pdf, structure
 
@@ -456,3 +457,11 @@ def hit_lines(spark, d):
     """Lines that hold a needle, with the bytes of each."""
     lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
     return lines.where(F.contains("l", F.lit("the"))).select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.octet_length("l").cast("long").alias("n_bytes"))
+
+
+@query(f"SELECT doc_id, md5({CLEAN}) AS digest FROM documents WHERE {CLEAN} <> ''")
+def decrypt_roundtrip(spark, d):
+    """Texts to encrypted files that open without a password, and out of these again."""
+    clean = F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\x0b\\x0c]+", " "))
+    files = pdf.pdfs_from_text(t(spark, d, "documents"), seal=sealed)
+    return pdf.document_text(files).select("doc_id", F.md5(clean).alias("digest"))

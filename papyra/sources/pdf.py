@@ -160,13 +160,13 @@ def document_text(pdfs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.array_join("p.text", "\n").alias("text"))
 
 
-def pdfs_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_page: int = 40) -> DataFrame:
+def pdfs_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_page: int = 40, seal=None) -> DataFrame:
     """(doc_id, content): each text as a PDF file, one line of text to a line."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, text in zip(pdf["doc_id"], pdf["text"]):
-                yield pd.DataFrame({"doc_id": [i], "content": [text_file((text or "").split("\n"), per_page, f"Document {i}")]})
+                yield pd.DataFrame({"doc_id": [i], "content": [text_file((text or "").split("\n"), per_page, f"Document {i}", seal=seal)]})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, content binary")

@@ -94,3 +94,43 @@ def test_structure_of_odd_files():
     assert not st.signed(d) and st.signed(Document(append_revision(loop, {51: {"FT": cos.Name("Sig"), "V": 1}})))
     assert st.calculation('AFSimple_Calculate("SUM", new Array ("a", "b"));') == ("SUM", ["a", "b"])
     assert st.value_range("AFRange_Validate(true, 1, false, 9)") == (1.0, None) and st.value_range("x") is None
+
+
+def test_ciphers_against_published_vectors():
+    from papyra.functions import crypto as c
+
+    assert c.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3" and c.rc4(b"Wiki", b"pedia").hex() == "1021bf0420"
+    plain = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for n, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        got = c.cbc_encrypt(bytes(range(n)), bytes(16), plain)
+        assert got.hex() == want and c.cbc_decrypt(bytes(range(n)), bytes(16), got) == plain
+    data = bytes(range(100))
+    assert c.aes_open(b"k" * 16, c.aes_seal(b"k" * 16, data)) == data and c.aes_open(b"k" * 16, b"short") == b""
+    assert c.aes_open(b"k" * 16, c.aes_seal(b"k" * 16, data)[:-5])[:80] == data[:80]
+
+
+@pytest.mark.parametrize("aes", [False, True])
+def test_encrypted_files(aes):
+    from functools import partial
+
+    from papyra.functions.crypto import sealed
+
+    locked = text_file(["secret (1)"], title="t", seal=partial(sealed, aes=aes, user=b"u", owner=b"o"))
+    assert b"secret" not in locked
+    for password, fits in ((b"u", True), (b"o", True), (b"", False)):
+        d = Document(locked, password)
+        assert (page_texts(d) == ["secret (1)"]) == fits and (d.get(d.trailer["Info"])["Title"] == b"t") == fits
+        assert any("password" in n for n in d.notes) != fits
+    assert page_texts(Document(text_file(["open"], seal=partial(sealed, aes=aes)))) == ["open"]
+
+
+def test_strong_passwords():
+    """Revision 6: a handler's own entries, made as the algorithm says, open with either password."""
+    from papyra.functions import crypto as c
+
+    key, salts = bytes(range(32)), [bytes([i] * 8) for i in range(4)]
+    for r in (5, 6):
+        u = c._strong_hash(b"u", salts[0], b"", r) + salts[0] + salts[1]
+        o = c._strong_hash(b"o", salts[2], u, r) + salts[2] + salts[3]
+        d = {"V": 5, "R": r, "U": u, "O": o, "UE": c.cbc_encrypt(c._strong_hash(b"u", salts[1], b"", r), bytes(16), key), "OE": c.cbc_encrypt(c._strong_hash(b"o", salts[3], u, r), bytes(16), key)}
+        assert [c.Handler(d, b"", p).key for p in (b"u", b"o", b"x")] == [key, key, None]
