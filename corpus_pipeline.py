@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, langid, mixing, simhash, suffix_dedup
-from papyra.llm.common import save
+from papyra.llm import bpe, jaccard, langid, mixing, simhash, suffix_dedup
+from papyra.llm.common import drop, save
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +26,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash first, which finds few of the pairs between 0.8 and 0.9; then no two documents stay whose
+    sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    first = save(near_duplicates(spark, docs, sf_dir), "simhash-kept")
+    kept = jaccard.kept_ids(first)
+    drop(first)
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in 400-byte strings that occur elsewhere too go; characters cut in half go whole."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -52,7 +61,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language), ("simhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeated_passages),
+    ("language_id", language), ("simhash_near_dedup", near_copies), ("suffix_array_dedup", repeated_passages),
     ("mixing", mixture), ("bpe", tokens),
 ]
 
