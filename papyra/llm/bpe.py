@@ -26,14 +26,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import trimmed
+from .common import small_batches, trimmed
 
 #: The public pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: What \s matches in the pattern.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
-CACHE_UNITS = 250_000
-BLOCK_BYTES = 12 << 20
+#: Bytes of distinct units after which a worker's cache is emptied; with what belongs to them, they take about 15 times this.
+CACHE_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,7 +52,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*ids.values(), *self.added.values()]) + 1
         table = [b""] * self.size
-        self.of_byte = np.zeros(256, np.int64)
+        self.of_byte = np.zeros(256, np.int32)
         for token, i in ids.items():
             table[i] = bytes(back[c] for c in token)
             if len(token) == 1:
@@ -59,19 +60,20 @@ class Vocabulary:
         for token, i in self.added.items():
             table[i] = token.encode()
         pairs = [(ids[a], ids[b], ids[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
-        left, right, self.made = (np.array(x, np.int64) for x in zip(*pairs))
+        left, right, made = (np.array(x, np.int64) for x in zip(*pairs))
+        self.made = made.astype(np.int32)
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
-        self.token_len = np.array([len(t) for t in table], np.int64)
-        self.token_at = np.concatenate(([0], np.cumsum(self.token_len)))
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.token_len = np.array([len(t) for t in table], np.int32)
+        self.token_at = np.concatenate(([0], np.cumsum(self.token_len))).astype(np.int32)
         self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.cut = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 where there is none."""
-        k = a * self.size + b
+        k = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[at] == k, self.ranks[at], -1)
 
@@ -95,9 +97,9 @@ class PairIndex:
         lengths = np.array([len(p) for p in pieces], np.int64)
         self.sym = vocabulary.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         n = len(self.sym)
-        self.piece = np.repeat(np.arange(len(pieces)), lengths)
-        self.next = np.arange(1, n + 1)
-        self.prev = np.arange(-1, n - 1)
+        self.piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        self.next = np.arange(1, n + 1, dtype=np.int32)
+        self.prev = np.arange(-1, n - 1, dtype=np.int32)
         first = np.cumsum(lengths) - lengths
         self.prev[first[lengths > 0]] = -1
         self.next[(first + lengths - 1)[lengths > 0]] = n
@@ -176,6 +178,7 @@ class Codec:
 
     def reset(self) -> None:
         self.units: list[str] = []
+        self.n_bytes = 0
         self.bare, self.spaced = Numbered(self.units, ""), Numbered(self.units, " ")
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -185,13 +188,14 @@ class Codec:
         if not new:
             return
         number: dict[str, int] = {}
+        self.n_bytes += sum(map(len, new))
         of_unit = [[number.setdefault(p, len(number)) for p in ([u] if u in self.v.added else self.v.cut.findall(u))] for u in new]
         plain = list(number)
         special = {number[u]: i for u, i in self.v.added.items() if u in number}
         sym, piece = PairIndex(self.v, [b"" if i in special else p.encode() for i, p in enumerate(plain)]).run()
         counts = np.bincount(piece, minlength=len(plain))
         at = np.concatenate((np.cumsum(counts) - counts, np.arange(len(special)) + len(sym))).astype(np.int64)
-        sym = np.concatenate((sym, np.array(list(special.values()), np.int64)))
+        sym = np.concatenate((sym, np.array(list(special.values()), np.int32)))
         for k, i in enumerate(special):
             at[i], counts[i] = at[len(plain) + k], 1
         pieces = np.array([p for ps in of_unit for p in ps], np.int64)
@@ -261,7 +265,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for block in blocks(batches):
-            if len(c.units) > CACHE_UNITS:
+            if c.n_bytes > CACHE_BYTES:
                 c.reset()
             numbers = [[c.number(t.as_py() or "") for t in part.column(1)] for part in block]
             c.learn()
@@ -280,6 +284,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 columns += [pa.array(out[o], extra[o][1]) for o in outputs]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *outputs])
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

@@ -6,8 +6,9 @@ languages and drawn by a hash of the id; their features, not their texts, come t
 language whose family is not listed forms a family of its own.
 
 Nulls: rows with a null id, text or lang are not learned from. A null text, or one without a letter,
-is `und` with score 0; so is everything where no language could be learned. Ties go to the language
-first by name. Rows are judged one by one: repeats and extra columns change nothing.
+is `und` with score 0; so is everything where no language could be learned, as from an empty table. Ties
+go to the language first by name. Rows are judged one by one: repeats and extra columns change nothing, and
+very long texts are counted in pieces.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, trimmed
+
 DIM = 2048
 SAMPLE = 6000
 CHUNK = 1 << 20
@@ -119,16 +122,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     each = sample / len(counts)
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # by id and text, so that rows which share an id are drawn one by one
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     kind = dict(docs.dtypes)[lang_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [vector(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["lang", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary()), b.column(2)], ["lang", "v", "draw"])
 
-    picked = usable.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), text_col)
-    got = picked.mapInArrow(run, f"lang {kind}, v binary").limit(2 * sample).toPandas()
+    small_batches(docs.sparkSession)
+    picked = usable.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col), draw.alias("draw"))
+    # the draw leaves about `sample` rows; equal rows share a draw, so the bound is set once more, by order
+    got = picked.mapInArrow(run, f"lang {kind}, v binary, draw double").orderBy("draw", "lang", "v").limit(2 * sample).toPandas()
     if not len(got):
         return None
     x = np.frombuffer(b"".join(got["v"].map(bytes)), np.float32).reshape(len(got), DIM)
@@ -137,16 +143,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, lang_pred, score and the columns in keep."""
+    """id_col, lang_pred, score and the columns in keep, which can't have these names themselves."""
     types = dict(docs.dtypes)
     cols = [id_col, *keep]
+    if clash := {c.lower() for c in keep} & {id_col.lower(), "lang_pred", "score"}:
+        raise ValueError(f"the result has columns of these names itself: {sorted(clash)}")
     schema = ", ".join([f"`{c}` {types[c]}" for c in cols] + ["lang_pred string", "score double"])
 
+    place = cols.index(text_col) if text_col in cols else len(cols)
+
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                texts = [t.as_py() for t in b.column(len(cols))]
+                texts = [t.as_py() for t in b.column(place)]
                 ok = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
                 out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
                 if ok:
@@ -156,7 +167,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                     [*b.columns[: len(cols)], pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*cols, "lang_pred", "score"]
                 )
 
-    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*cols, *([] if place < len(cols) else [F.col(text_col)])).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -3,18 +3,30 @@
 Each source has a target in words; a document's expected copies are target / source size, at most 3.
 Whole copies are certain; the fraction, as words, is its mass. Documents of a source are paired: mass
 moves one way or the other, at random and in proportion, so that expectations hold, until one of the
-two is empty or whole. A pair's sum of words never changes, so a source misses its target by less than
-one document (the root's residual goes to its nearer end). Buckets of about FAN rows reduce to one residual each, these again, and so on: a tree of
-log_FAN(n) levels in which no task holds more than a few buckets at once, whatever a source's share.
+two is empty or whole. A pair's sum of words never changes. Buckets of about FAN rows reduce to one
+residual each, these again, and so on: a tree of log_FAN(n) levels in which no task holds more than a
+few buckets at once, whatever a source's share.
+
+The one left at the root is settled by a coin, which errs by up to its size; so large documents are
+rounded first, and what their coin adds or takes is spread over the fractions of the smaller documents
+still open (the coin's expected error is nil, so theirs hold, too). Up to three such rounds leave a small
+document for the last coin. Where a source has too few small documents to take the error in, it is one
+round, and a root of over COIN of its target goes to its nearer end.
+
+Equal rows (id, source, size, text, carried columns) enter the tree as one: of n of them, with fraction f
+each, floor(n f) are taken for certain and one is open, so a group of copies is one row whatever its size.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. Documents of size 0
-take 0. An empty table gives no rows. Choices come from hashes of (id, size), so reruns agree; repeated
-rows are rounded each for itself. Extra columns are left behind unless named in `carry`.
+take 0. An empty table gives no rows. Choices come from hashes of (id, size, text), so reruns agree, ties
+among them go by the other columns, and very long texts are but their size. Extra columns are left
+behind unless named in `carry`; a carried name that the result has itself is refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, save
@@ -22,30 +34,45 @@ from .common import WORD, save
 FAN = 48
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
+COIN = 0.02
+ROUNDS = 3
+#: Equal rows that one task writes; more are dealt out.
+EXPAND = 1 << 16
 
 
 def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with `nr` from 0 in this order: places within sorted partitions, plus the rows before each
+    partition (a table of one row a partition), so that no task holds all rows."""
+    placed = save(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("place", 33)
+    n = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = n.agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("all"))
+    before = before.select(F.explode("all").alias("x"), "all").select(
+        F.col("x.part").alias("part"), F.aggregate(F.filter("all", lambda y: y["part"] < F.col("x.part")), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("before")
+    )
+    return placed.withColumn("part", part).join(F.broadcast(before), "part").select(*rows.columns, (F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("nr"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(source, source_size, n) to the same with target: all words shared by weight, no source above
-    cap times its size, the excess shared again by weight. Sources fill up in order of cap size over
-    weight, so the final level is found in one pass over the sources (a table of one row a source)."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("w", w).withColumn("limit", F.lit(cap) * F.col("source_size"))
-    s = s.withColumn("fill", F.col("limit") / F.col("w"))
-    up = Window.orderBy("fill", F.col("source").asc_nulls_last())
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("gone", F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
-    s = s.withColumn("left_w", F.sum("w").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    total = F.sum("source_size").over(Window.partitionBy(F.lit(1)))
-    s = s.withColumn("level", (total - F.col("gone")) / F.col("left_w"))
-    # the first source that its level does not fill fixes the level for it and all after it
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(Window.partitionBy(F.lit(1)))
-    s = s.withColumn("level", level["level"])
-    return s.withColumn("target", F.least("limit", F.coalesce(F.col("w") * F.col("level"), "limit"))).select("source", "source_size", "n", "target")
+    """(source, source_size, ...) to the same with target: all words shared by weight; sources above cap
+    times their size stop there and the excess is shared again, until none is above. Each round is one
+    aggregate over the sources."""
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("nr", F.lit(len(weights))) + 1).cast("int"))
+    s = numbered(sizes, F.col("source").asc_nulls_last()).withColumn("w", w).withColumn("limit", F.lit(cap) * F.col("source_size")).drop("nr")
+    s = save(s, "sources")
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        over = F.col("limit") < F.col("w") * F.lit(level)
+        now = s.agg(F.count_if(over), F.sum(F.when(over, F.col("limit")).otherwise(0.0)), F.sum(F.when(~over, F.col("w")).otherwise(0.0))).first()
+        if now[0] == full or not now[2]:
+            break
+        full, level = now[0], (total - now[1]) / now[2]
+    return s.withColumn("target", F.least("limit", F.col("w") * F.lit(level))).drop("w", "limit")
 
 
 def _coin(*cols: Column) -> Column:
@@ -76,40 +103,97 @@ def _fold(level: int) -> Column:
     return F.aggregate(F.expr("slice(rows, 2, size(rows))"), first, step)
 
 
+def _with_rounds(sources: DataFrame, hist: DataFrame) -> DataFrame:
+    """sources with k1 and k2: rows of size class (powers of two) over k1 are rounded first, those over k2
+    next, the rest last; -1 where all are rounded at once. The open mass below a bound must take in the
+    coin's error for the largest document above it."""
+    f = F.col("target") / F.greatest("source_size", F.lit(1))
+    f = f - F.floor(f)
+    s = sources.withColumn("f", F.when(F.col("source_size") > 0, f).otherwise(0.0)).withColumn("room", 0.25 * F.least("f", 1 - F.col("f")))
+    h = hist.groupBy(F.col("source").alias("source2")).agg(F.sort_array(F.collect_list(F.struct("k", "words", "most"))).alias("hist"))
+    s = s.join(h, F.col("source").eqNullSafe(F.col("source2")), "left").drop("source2")
+
+    def bound(below: Column) -> Column:
+        """The least class whose rows, with all smaller ones, take in the error of the largest below `below`."""
+        hist = F.filter("hist", lambda x: x["k"] <= below)
+        most = F.array_max(F.transform(hist, lambda x: x["most"]))
+        words = lambda k: F.aggregate(F.filter("hist", lambda y: y["k"] <= k), F.lit(0).cast("long"), lambda a, y: a + y["words"])
+        return F.coalesce(F.array_min(F.transform(F.filter(hist, lambda x: words(x["k"]) * F.col("room") >= most), lambda x: x["k"])), F.lit(-1))
+
+    s = s.withColumn("k1", bound(F.lit(99))).withColumn("k2", F.when(F.col("k1") >= 0, bound(F.col("k1"))).otherwise(-1))
+    return s.drop("room", "hist")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           weights: tuple = WEIGHTS, cap: float = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each distinct (id, source, size, text, carried columns): id, source, size, carry, n (rows),
+    h, source_size, target, base and more: of the n rows, `more` are taken base + 1 times, the others base times."""
+    types = dict(docs.dtypes)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), F.xxhash64(F.col(text_col)).alias("t"), F.struct(F.lit(0).alias("_"), *carry).alias("carry"))
+    rows = save(rows.groupBy("id", "source", "size", "t", "carry").agg(F.count("*").alias("n")), "mix")
+    rows = rows.withColumn("h", F.xxhash64("id", "size", "t"))
+    k = F.ceil(F.log2(F.col("size") + 1)).cast("int")
+    hist = save(rows.groupBy("source", k.alias("k")).agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.max("size").alias("most")), "sizes")
+    sources = source_targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
+    sources = save(_with_rounds(sources, hist), "targets")
+    done = []
+    for turn in range(ROUNDS):
+        s = sources.select(F.col("source").alias("source2"), "source_size", "target", "f", "k1", "k2")
+        mine = F.when(F.col("k1") < 0, 2).when(k > F.col("k1"), 0).when((F.col("k2") >= 0) & (k > F.col("k2")), 1).otherwise(2)
+        now = rows.join(s, F.col("source").eqNullSafe(F.col("source2"))).where(mine == turn)
+        mean = F.col("n") * F.col("f")
+        copies = F.when(F.col("source_size") > 0, F.floor(F.least(F.col("target") / F.col("source_size"), F.lit(cap)))).otherwise(F.lit(0))
+        now = now.select(
+            "h", "id", F.col("size").cast("double").alias("size"), ((mean - F.floor(mean)) * F.col("size")).alias("mass"), F.floor(mean).alias("sure"),
+            copies.alias("base"), "n", "source_size", "target", "carry", "t", "source",
+        )
+        now = save(now, "open")
+        cols = [c for c in now.columns if c != "source"]
+        open_ = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
+        done.append(now.where(~open_))
+        per = now.where(open_).groupBy(F.col("source").alias("source2")).agg(F.count("*").alias("left"))
+        todo = now.where(open_).join(per, F.col("source").eqNullSafe(F.col("source2"))).drop("source2")
+        most, level = per.agg(F.max("left")).first()[0] or 0, 0
+        while most > 1:
+            fewer = F.ceil(F.col("left") / FAN).cast("long")
+            got = todo.groupBy("source", "left", F.pmod(F.xxhash64("h", F.lit(level)), fewer).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("rows"))
+            got = save(got.select("source", fewer.alias("left"), _fold(level).alias("x")), "pivot")
+            done.append(got.select("source", F.explode("x.done").alias("r")).select("source", "r.*"))
+            todo = got.select("source", "left", "x.rest.*")
+            # a residual can come out whole or empty; it then is settled like the rest
+            done.append(todo.where(~open_).drop("left"))
+            todo, most, level = todo.where(open_), -(-most // FAN), level + 1
+        by_coin = _coin(F.col("h"), F.lit(f"root {turn}")) * F.col("size") < F.col("mass")
+        if turn == ROUNDS - 1:
+            by_coin = F.when(F.col("size") <= COIN * F.col("target"), by_coin).otherwise(F.col("mass") * 2 >= F.col("size"))
+        last = save(todo.drop("left").withColumn("was", F.col("mass")).withColumn("mass", F.when(by_coin, F.col("size")).otherwise(F.lit(0.0))), "roots")
+        done.append(last.drop("was"))
+        if turn < ROUNDS - 1:
+            error = last.select(F.col("source").alias("source3"), (F.col("mass") - F.col("was")).alias("error"))
+            below = F.when(F.col("k1") < 0, -1).otherwise(F.col("k1") if turn == 0 else F.when(F.col("k2") < 0, F.col("k1")).otherwise(F.col("k2")))
+            pool = hist.join(sources.select(F.col("source").alias("source2"), below.alias("below")), F.col("source").eqNullSafe(F.col("source2")))
+            pool = pool.where("k <= below").groupBy("source2").agg(F.sum("words").alias("pool"))
+            new = sources.join(error, F.col("source").eqNullSafe(F.col("source3")), "left").join(pool, F.col("source").eqNullSafe(F.col("source2")), "left")
+            shift = F.coalesce(F.col("error") / F.col("pool"), F.lit(0.0))
+            sources = save(new.withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") - shift))).drop("source2", "source3", "error", "pool"), "targets")
+    out = reduce(DataFrame.unionByName, done)
+    more = F.col("sure") + F.when((F.col("mass") > 0) & (F.col("size") > 0), 1).otherwise(0)
+    return out.select(
+        F.col("id").cast(types[id_col]).alias("id"), "source", F.col("size").cast("long").alias("size"), "carry", "t", "n", F.col("source_size").cast("long").alias("source_size"),
+        "target", F.col("base").cast("long").alias("base"), F.when(F.col("size") > 0, more).otherwise(0).cast("long").alias("more"),
+    )
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple = WEIGHTS, cap: float = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
     """id_col, size, source_size, target, taken, and the columns in carry (small ones: they travel along)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), F.struct(F.lit(0).alias("_"), *carry).alias("carry"))
-    rows = save(rows, "mix")
-    sizes = save(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, cap), "targets")
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    s = sizes.withColumnRenamed("source", "source2")
-    rows = rows.join(s, F.col("source").eqNullSafe(F.col("source2")), "left").drop("source2")
-    copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(F.lit(0.0))
-    rows = rows.withColumn("copies", copies).withColumn("base", F.floor("copies"))
-    rows = rows.select(
-        "id", "source", "n", "carry", F.col("size").cast("double").alias("size"), "source_size", "target", "base",
-        ((F.col("copies") - F.col("base")) * F.col("size")).alias("mass"), F.xxhash64("id", "size").alias("h"),
-    )
-    open_ = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
-    done, todo = [rows.where(~open_).drop("n")], rows.where(open_)
-    cols, level = ["h", "id", "size", "mass", "base", "source_size", "target", "carry"], 0
-    while most > 1:
-        bucket = F.pmod(F.xxhash64("h", F.lit(level)), F.ceil(F.col("n") / FAN).cast("long"))
-        groups = todo.groupBy("source", "n", bucket.alias("bucket")).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("rows"))
-        groups = save(groups.select("source", F.ceil(F.col("n") / FAN).cast("long").alias("n"), _fold(level).alias("x")), "pivot")
-        done.append(groups.select("source", F.explode("x.done").alias("r")).select("source", "r.*"))
-        todo = groups.select("source", "n", "x.rest.*")
-        # a residual can come out whole or empty; it then is settled like the rest
-        done.append(todo.where(~open_).drop("n"))
-        todo, most, level = todo.where(open_), -(-most // FAN), level + 1
-    # one document a source is left; the nearer end keeps the source closest to its target
-    last = F.when(F.col("mass") * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0.0))
-    done.append(todo.drop("n").withColumn("mass", last))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select(
-        F.col("id").alias(id_col), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target",
-        (F.col("base") * F.col("size") + F.col("mass")).cast("long").alias("taken"), *[F.col("carry")[c].alias(c) for c in carry],
-    )
+    if clash := {c.lower() for c in carry} & {id_col.lower(), "size", "source_size", "target", "taken"}:
+        raise ValueError(f"the result has columns of these names itself: {sorted(clash)}")
+    got = groups(docs, id_col, text_col, source_col, weights, cap, carry)
+    one = got.where("n = 1").withColumn("i", F.lit(1).cast("long"))
+    some = got.where(f"n between 2 and {EXPAND}").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    many = got.where(F.col("n") > EXPAND).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EXPAND)))).repartition("id", "t", "block")
+    many = many.withColumn("i", F.explode(F.sequence(F.col("block") * EXPAND + 1, F.least("n", (F.col("block") + 1) * EXPAND)))).drop("block")
+    out = one.unionByName(some).unionByName(many)
+    taken = (F.col("base") + (F.col("i") <= F.col("more")).cast("long")) * F.col("size")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), *[F.col("carry")[c].alias(c) for c in carry])
