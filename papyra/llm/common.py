@@ -7,8 +7,9 @@ import functools
 import gc
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ LOCAL_SHARED = "file:///tmp/checkpoints/papyra"
 BATCH_BYTES = 4 << 20
 #: A key with more than one in HEAVY of all rows is joined by itself; so there are at most HEAVY of these.
 HEAVY = 500
+#: Links between documents that one task finishes; see connected_components().
+ONE_TASK = 20_000
 #: ASCII white space: the complement of [^\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -99,11 +102,36 @@ def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], weight: str,
     return rows.join(F.broadcast(heavy), keys).unionByName(rest)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links to as few as keep the same components: (member, its component's least)."""
+    names, pos = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = pos[: len(a)], pos[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    out = np.flatnonzero(root != np.arange(len(names)))
+    return names[out], names[root[out]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    node, root = forest(t.column(0).to_numpy(), t.column(1).to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(a, b) links between long ids to (node, root): every node but the smallest of its component,
     with that smallest id. Alternating large-star and small-star steps: each is a minimum by node
     (combined map-side) and a join in which hubs are broadcast with their minimum, so that a hub's
-    links are never gathered in one task. Nulls link nothing."""
+    links are never gathered in one task. As soon as no more than one_task links are left (16 bytes each),
+    a single task finishes them. Nulls link nothing."""
     e = save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", False
     )
@@ -112,6 +140,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == signature or not now[0]:
             break
+        if now[0] <= one_task:
+            return save(e.repartition(1).mapInArrow(_forest, "node long, root long"), "cc", False)
         signature = tuple(now)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "cc-low", False)

@@ -9,9 +9,9 @@ few buckets at once, whatever a source's share.
 
 The one left at the root is settled by a coin, which errs by up to its size; so large documents are
 rounded first, and what their coin adds or takes is spread over the fractions of the smaller documents
-still open (the coin's expected error is nil, so theirs hold, too). Up to three such rounds leave a small
-document for the last coin. Where a source has too few small documents to take the error in, it is one
-round, and a root of over COIN of its target goes to its nearer end.
+still open (the coin's expected error is nil, so theirs hold, too). Up to ROUNDS such rounds leave a small
+document for the last coin. Where the smaller documents can't take the error in, the round is the last, and
+a root of over COIN of its target goes to its nearer end.
 
 Equal rows (id, source, size, text, carried columns) enter the tree as one: of n of them, with fraction f
 each, floor(n f) are taken for certain and one is open, so a group of copies is one row whatever its size.
@@ -47,7 +47,7 @@ def n_words(text: str) -> Column:
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """rows with `nr` from 0 in this order: places within sorted partitions, plus the rows before each
     partition (a table of one row a partition), so that no task holds all rows."""
-    placed = save(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "numbered")
+    placed = save(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "numbered", False)
     part = F.shiftright("place", 33)
     n = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = n.agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("all"))
@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP)
     aggregate over the sources."""
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("nr", F.lit(len(weights))) + 1).cast("int"))
     s = numbered(sizes, F.col("source").asc_nulls_last()).withColumn("w", w).withColumn("limit", F.lit(cap) * F.col("source_size")).drop("nr")
-    s = save(s, "sources")
+    s = save(s, "sources", False)
     total = s.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:
@@ -103,25 +103,17 @@ def _fold(level: int) -> Column:
     return F.aggregate(F.expr("slice(rows, 2, size(rows))"), first, step)
 
 
-def _with_rounds(sources: DataFrame, hist: DataFrame) -> DataFrame:
-    """sources with k1 and k2: rows of size class (powers of two) over k1 are rounded first, those over k2
-    next, the rest last; -1 where all are rounded at once. The open mass below a bound must take in the
-    coin's error for the largest document above it."""
-    f = F.col("target") / F.greatest("source_size", F.lit(1))
-    f = f - F.floor(f)
-    s = sources.withColumn("f", F.when(F.col("source_size") > 0, f).otherwise(0.0)).withColumn("room", 0.25 * F.least("f", 1 - F.col("f")))
+def _next_bound(sources: DataFrame, hist: DataFrame) -> DataFrame:
+    """sources (with f: the fraction now, top: the largest size class still open) with `next`: rows of size
+    classes (powers of two) over it are rounded now, the others later; -1 where all are rounded now. It is
+    the least class whose rows, with all smaller ones, can take in a coin's error for the largest row now open."""
     h = hist.groupBy(F.col("source").alias("source2")).agg(F.sort_array(F.collect_list(F.struct("k", "words", "most"))).alias("hist"))
-    s = s.join(h, F.col("source").eqNullSafe(F.col("source2")), "left").drop("source2")
-
-    def bound(below: Column) -> Column:
-        """The least class whose rows, with all smaller ones, take in the error of the largest below `below`."""
-        hist = F.filter("hist", lambda x: x["k"] <= below)
-        most = F.array_max(F.transform(hist, lambda x: x["most"]))
-        words = lambda k: F.aggregate(F.filter("hist", lambda y: y["k"] <= k), F.lit(0).cast("long"), lambda a, y: a + y["words"])
-        return F.coalesce(F.array_min(F.transform(F.filter(hist, lambda x: words(x["k"]) * F.col("room") >= most), lambda x: x["k"])), F.lit(-1))
-
-    s = s.withColumn("k1", bound(F.lit(99))).withColumn("k2", F.when(F.col("k1") >= 0, bound(F.col("k1"))).otherwise(-1))
-    return s.drop("room", "hist")
+    s = sources.join(h, F.col("source").eqNullSafe(F.col("source2")), "left").drop("source2")
+    open_ = F.filter("hist", lambda x: x["k"] <= F.col("top"))
+    words = lambda k: F.aggregate(F.filter("hist", lambda y: y["k"] <= k), F.lit(0).cast("long"), lambda a, y: a + y["words"])
+    most, room = F.array_max(F.transform(open_, lambda x: x["most"])), 0.95 * F.least("f", 1 - F.col("f"))
+    fit = F.filter(open_, lambda x: words(x["k"]) * room >= most)
+    return s.withColumn("next", F.coalesce(F.array_min(F.transform(fit, lambda x: x["k"])), F.lit(-1))).drop("hist")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -133,19 +125,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     rows = save(rows.groupBy("id", "source", "size", "t", "carry").agg(F.count("*").alias("n")), "mix")
     rows = rows.withColumn("h", F.xxhash64("id", "size", "t"))
     k = F.ceil(F.log2(F.col("size") + 1)).cast("int")
-    hist = save(rows.groupBy("source", k.alias("k")).agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.max("size").alias("most")), "sizes")
+    hist = save(rows.groupBy("source", k.alias("k")).agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.max("size").alias("most")), "sizes", False)
     sources = source_targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
-    sources = save(_with_rounds(sources, hist), "targets")
+    f = F.col("target") / F.greatest("source_size", F.lit(1))
+    sources = sources.withColumn("f", F.when(F.col("source_size") > 0, f - F.floor(f)).otherwise(0.0)).withColumn("top", F.lit(99))
     done = []
     for turn in range(ROUNDS):
-        s = sources.select(F.col("source").alias("source2"), "source_size", "target", "f", "k1", "k2")
-        mine = F.when(F.col("k1") < 0, 2).when(k > F.col("k1"), 0).when((F.col("k2") >= 0) & (k > F.col("k2")), 1).otherwise(2)
-        now = rows.join(s, F.col("source").eqNullSafe(F.col("source2"))).where(mine == turn)
+        bounded = _next_bound(sources, hist) if turn < ROUNDS - 1 else sources.withColumn("next", F.lit(-1))
+        sources = save(bounded, "targets", False)
+        if turn and not sources.where("top >= 0").limit(1).count():
+            break
+        s = sources.select(F.col("source").alias("source2"), "source_size", "target", "f", "top", "next")
+        now = rows.join(s, F.col("source").eqNullSafe(F.col("source2"))).where((k <= F.col("top")) & (k > F.col("next")))
         mean = F.col("n") * F.col("f")
         copies = F.when(F.col("source_size") > 0, F.floor(F.least(F.col("target") / F.col("source_size"), F.lit(cap)))).otherwise(F.lit(0))
         now = now.select(
             "h", "id", F.col("size").cast("double").alias("size"), ((mean - F.floor(mean)) * F.col("size")).alias("mass"), F.floor(mean).alias("sure"),
-            copies.alias("base"), "n", "source_size", "target", "carry", "t", "source",
+            copies.alias("base"), "n", "source_size", "target", "carry", "t", "next", "source",
         )
         now = save(now, "open")
         cols = [c for c in now.columns if c != "source"]
@@ -157,25 +153,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         while most > 1:
             fewer = F.ceil(F.col("left") / FAN).cast("long")
             got = todo.groupBy("source", "left", F.pmod(F.xxhash64("h", F.lit(level)), fewer).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("rows"))
-            got = save(got.select("source", fewer.alias("left"), _fold(level).alias("x")), "pivot")
+            got = save(got.select("source", fewer.alias("left"), _fold(level).alias("x")), "pivot", level == 0)
             done.append(got.select("source", F.explode("x.done").alias("r")).select("source", "r.*"))
             todo = got.select("source", "left", "x.rest.*")
             # a residual can come out whole or empty; it then is settled like the rest
             done.append(todo.where(~open_).drop("left"))
             todo, most, level = todo.where(open_), -(-most // FAN), level + 1
-        by_coin = _coin(F.col("h"), F.lit(f"root {turn}")) * F.col("size") < F.col("mass")
-        if turn == ROUNDS - 1:
-            by_coin = F.when(F.col("size") <= COIN * F.col("target"), by_coin).otherwise(F.col("mass") * 2 >= F.col("size"))
-        last = save(todo.drop("left").withColumn("was", F.col("mass")).withColumn("mass", F.when(by_coin, F.col("size")).otherwise(F.lit(0.0))), "roots")
+        coin = _coin(F.col("h"), F.lit(f"root {turn}")) * F.col("size") < F.col("mass")
+        end = F.when((F.col("next") >= 0) | (F.col("size") <= COIN * F.col("target")), coin).otherwise(F.col("mass") * 2 >= F.col("size"))
+        last = save(todo.drop("left").withColumn("was", F.col("mass")).withColumn("mass", F.when(end, F.col("size")).otherwise(F.lit(0.0))), "roots", False)
         done.append(last.drop("was"))
-        if turn < ROUNDS - 1:
-            error = last.select(F.col("source").alias("source3"), (F.col("mass") - F.col("was")).alias("error"))
-            below = F.when(F.col("k1") < 0, -1).otherwise(F.col("k1") if turn == 0 else F.when(F.col("k2") < 0, F.col("k1")).otherwise(F.col("k2")))
-            pool = hist.join(sources.select(F.col("source").alias("source2"), below.alias("below")), F.col("source").eqNullSafe(F.col("source2")))
-            pool = pool.where("k <= below").groupBy("source2").agg(F.sum("words").alias("pool"))
-            new = sources.join(error, F.col("source").eqNullSafe(F.col("source3")), "left").join(pool, F.col("source").eqNullSafe(F.col("source2")), "left")
-            shift = F.coalesce(F.col("error") / F.col("pool"), F.lit(0.0))
-            sources = save(new.withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") - shift))).drop("source2", "source3", "error", "pool"), "targets")
+        error = last.select(F.col("source").alias("source3"), (F.col("mass") - F.col("was")).alias("error"))
+        pool = hist.join(sources.select(F.col("source").alias("source2"), "next"), F.col("source").eqNullSafe(F.col("source2")))
+        pool = pool.where("k <= next").groupBy("source2").agg(F.sum("words").alias("pool"))
+        new = sources.join(error, F.col("source").eqNullSafe(F.col("source3")), "left").join(pool, F.col("source").eqNullSafe(F.col("source2")), "left")
+        shift = F.coalesce(F.col("error") / F.col("pool"), F.lit(0.0))
+        sources = new.withColumn("f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") - shift))).withColumn("top", F.col("next")).drop("source2", "source3", "error", "pool", "next")
     out = reduce(DataFrame.unionByName, done)
     more = F.col("sure") + F.when((F.col("mass") > 0) & (F.col("size") > 0), 1).otherwise(0)
     return out.select(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SHARD_BYTES = 16 << 20
+#: A shard's limit: so large, or a fortieth of the table where that is less.
+SHARD_BYTES, SHARDS = 16 << 20, 40
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -63,7 +65,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
-    return shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    docs = table(spark, sf_dir, "documents")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return shard(docs, max(1, min(SHARD_BYTES, total // SHARDS)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,15 +105,15 @@ OP8_SQL = f"""
 WITH k AS (
   SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key,
          CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents
-), s AS (
+), lim AS (SELECT greatest(1, least({SHARD_BYTES}, sum(n_bytes) // {SHARDS})) AS most FROM k),
+s AS (
   SELECT d, key >> (60 - d) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS b, count(*) AS n
-  FROM k, (SELECT CAST(range AS INTEGER) AS d FROM range(0, 25)) GROUP BY ALL
+  FROM k, (SELECT CAST(range AS INTEGER) AS d FROM range(0, 61)) GROUP BY ALL
 ), leaf AS (
-  SELECT doc_id, n_bytes, min(d) AS d FROM k JOIN s ON key >> (60 - d) = prefix
-  WHERE b <= {SHARD_BYTES} GROUP BY doc_id, n_bytes, key
-) SELECT leaf.doc_id, leaf.n_bytes, CASE WHEN leaf.d = 0 THEN '' ELSE right(lpad(bin(prefix), 64, '0'), leaf.d) END AS shard,
-         leaf.d AS depth, b AS shard_bytes, n AS shard_docs, false AS over_limit
-FROM leaf JOIN k ON leaf.doc_id = k.doc_id JOIN s ON s.d = leaf.d AND s.prefix = key >> (60 - leaf.d)
+  SELECT doc_id, n_bytes, key, arg_min(s, d) AS s FROM k, s, lim WHERE key >> (60 - d) = prefix AND (b <= most OR n = 1 OR d = 60) GROUP BY doc_id, n_bytes, key
+) SELECT doc_id, n_bytes, CASE WHEN s.d = 0 THEN '' ELSE right(lpad(bin(s.prefix), 64, '0'), s.d) END AS shard,
+         s.d AS depth, s.b AS shard_bytes, s.n AS shard_docs, s.b > most AS over_limit
+FROM leaf, lim
 """
 
 

@@ -4,8 +4,9 @@ A row's key is 60 bits of MD5 over its id and text, so null and repeated ids spr
 prefix are counted at a depth chosen from the total (combined map-side), and the directory's leaves are
 the shallowest prefixes that fit. Bins still too large at that depth go on with 8 more bits, alone.
 
-Nulls: a null text has 0 bytes. Rows that agree in all 60 bits (identical rows) can't be parted; if they
-exceed the limit together, or one row does alone, they form a shard marked over_limit. An empty table
+Nulls: a null text has 0 bytes. A prefix with a single row is not split further. Rows that agree in all 60
+bits (identical rows) can't be parted; if they exceed the limit together, or one row does alone, they form a
+shard marked over_limit. Ties don't arise; very long texts are but their size. An empty table
 gives no rows. Every row is returned once, repeated rows included; extra columns are left behind.
 """
 
@@ -40,7 +41,7 @@ def shard(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", text_col: str
         at = bins.select("*", F.explode(F.sequence(F.lit(start + 1), F.lit(depth))).alias("d"))
         at = at.withColumn("prefix", F.expr(f"shiftright(bin, {depth} - d)"))
         sums = at.groupBy("d", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-        fits = (F.col("shard_bytes") <= max_bytes) | (F.col("d") == BITS)
+        fits = (F.col("shard_bytes") <= max_bytes) | (F.col("shard_docs") == 1) | (F.col("d") == BITS)
         # the shallowest prefix that fits, per bin
         leaf = (
             at.join(sums, ["d", "prefix"]).where(fits).groupBy("bin")

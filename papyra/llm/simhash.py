@@ -4,13 +4,15 @@ A fingerprint's 64 bits are cut into max_distance + 3 blocks. Two fingerprints w
 agree in at least three of these, so each distinct fingerprint is listed under every choice of three
 blocks, and only fingerprints with a common key are compared: with 20 keys of about 32 bits for
 distance 3, hardly any other pair meets. Rows with one key are compared as they stream by, sorted by
-key; a key's links come out as a spanning forest, never as all pairs. Keys with more than RUN_LIMIT
-fingerprints leave the stream and are compared in chunks, every pair of chunks, in bounded tasks.
+key; a key's links come out as a spanning forest, never as all pairs. Keys are counted first (combined
+map-side); those with more than RUN_LIMIT fingerprints are dealt in chunks from the start, every pair of
+chunks to a bounded task of its own.
 
 Equal fingerprints (copies above all) are one entry from the start, whatever their number. Nulls: a
 null text has no words and fingerprint zero, like an empty one. A row with a null id takes part through
 rows that share its fingerprint, and its component is theirs (null if there are none). Repeated rows
-come out as often as they went in; extra columns are left behind. An empty table gives no rows.
+come out as often as they went in; extra columns are left behind. An empty table gives no rows. Very long
+texts are hashed in chunks of shingles; ties (a bit set in just half of them) count as 0.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, save
+from .common import connected_components, drop, forest, join_by_key, save, small_batches, trimmed
 
 RUN_LIMIT = 200_000
 SMALL_RUN = 32
@@ -48,6 +50,9 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    small_batches(docs.sparkSession)
+
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
@@ -64,24 +69,6 @@ def block_masks(max_distance: int) -> list[int]:
     return [int(np.uint64(sum(c)).astype(np.int64)) for c in combinations(blocks, 3)]
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links to as few as keep the same components: (member, its component's least)."""
-    names, pos = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = pos[: len(a)], pos[len(a) :]
-    root = np.arange(len(names))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    out = np.flatnonzero(root != np.arange(len(names)))
-    return names[out], names[root[out]]
-
-
 def link_large(fp: np.ndarray, rep: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Breadth first: whatever is reached leaves the set of candidates, so dense groups take few steps."""
     left, a, b = np.arange(len(fp)), [], []
@@ -120,69 +107,56 @@ def link_runs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, max_distance: in
     return forest(a, b) if len(a) else (a, b)
 
 
-def _linker(max_distance: int, limit: int | None):
+def _linker(max_distance: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, a, b, c) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "a", "b", "c"])
-
-        held, gone = [np.zeros(0, np.int64)] * 3, None
+        """(key, fp, rep), sorted by key, to links (a, b)."""
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             cols = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
-            if gone is not None and len(cols[0]):  # the rest of a run that was too long
-                n = int(np.searchsorted(cols[0] != gone, True))
-                if n:
-                    yield out(1, *(c[:n] for c in cols))
-                cols = [c[n:] for c in cols]
-                gone = None if len(cols[0]) else gone
-            if not len(cols[0]):
-                held = cols
-                continue
-            last = int(np.searchsorted(cols[0] == cols[0][-1], True))
+            last = int(np.searchsorted(cols[0] == cols[0][-1], True)) if len(cols[0]) else 0
             if last:
-                a, b = link_runs(*(c[:last] for c in cols), max_distance)
-                yield out(0, a, b, np.zeros(len(a), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in link_runs(*(c[:last] for c in cols), max_distance)], ["a", "b"])
             held = [c[last:] for c in cols]
-            if limit and len(held[0]) > limit:
-                gone = held[0][0]
-                yield out(1, *held)
-                held = [h[:0] for h in held]
         if len(held[0]):
-            a, b = link_runs(*held, max_distance)
-            yield out(0, a, b, np.zeros(len(a), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in link_runs(*held, max_distance)], ["a", "b"])
 
     return run
 
 
 def links(entries: DataFrame, max_distance: int, run_limit: int = RUN_LIMIT) -> DataFrame:
     """entries: (fp, rep), each fp once, rep a long id. Returns links (a, b) between reps."""
+    small_batches(entries.sparkSession)
     masks = F.array(*map(F.lit, block_masks(max_distance)))
     keys = F.transform(masks, lambda m, i: F.xxhash64(i, F.col("fp").bitwiseAND(m)))
-    schema = "kind int, a long, b long, c long"
-
-    def sorted_by_key(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key")
-
-    rows = sorted_by_key(entries.select(F.explode(keys).alias("key"), "fp", "rep"))
-    found = save(rows.mapInArrow(_linker(max_distance, run_limit), schema), "simhash-links")
-    out = found.where("kind = 0").select("a", "b")
-    hot = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), F.col("c").alias("rep"))
+    rows = entries.select(F.explode(keys).alias("key"), "fp", "rep")
+    met = save(rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), "simhash-keys")
+    plain = join_by_key(rows, met.where(F.col("met") <= run_limit), ["key"], "met").select("key", "fp", "rep")
+    hot = met.where(F.col("met") > run_limit)
     if hot.limit(1).count():
-        n = hot.groupBy("key").agg(F.ceil(F.count("*") / (run_limit / 4)).cast("int").alias("n"))
         own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-        chunks = hot.join(n, "key").select(F.explode(pairs).alias("key"), "fp", "rep")
-        out = out.union(sorted_by_key(chunks).mapInArrow(_linker(max_distance, None), schema).select("a", "b"))
-    return out
+        n = save(hot.withColumn("n", F.ceil(F.col("met") / (run_limit / 4)).cast("int")), "simhash-hot")
+        chunks = join_by_key(rows, n, ["key"], "met").select(F.explode(pairs).alias("key"), "fp", "rep")
+        plain = plain.unionByName(chunks)
+    found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(max_distance), "a long, b long")
+    found = save(found, "simhash-links")
+    drop(met)
+    return found
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3,
                run_limit: int = RUN_LIMIT) -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id (least id reachable by links), fp (as a long)."""
     prints = save(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    entries = save(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-entries")
-    roots = connected_components(links(entries.where("rep is not null"), max_distance, run_limit))
-    of_fp = entries.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(of_fp, "fp").select(
+    entries = save(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "simhash-entries")
+    found = links(entries.where("rep is not null").select("fp", "rep"), max_distance, run_limit)
+    roots = connected_components(found)
+    drop(found)
+    of_fp = save(entries.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n"), "simhash-components")
+    drop(entries)
+    # a fingerprint of very many rows (copies, empty texts) gets its component by broadcast
+    return join_by_key(prints, of_fp, ["fp"], "n").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
     )
 

@@ -3,23 +3,32 @@
 Finding candidates. A window of SPAN bytes is represented by its least hashed GRAM-byte string (the
 leftmost of equals), its anchor. Equal windows have equal anchors at equal offsets, so only windows
 around anchors with one hash need be compared; about one position in 170 is an anchor. An anchor's
-context is what the windows that contain it can reach. Contexts that occur twice are repeats as a
-whole, so only one of each distinct context goes on, and only where its anchor has other contexts.
+context is what the windows that contain it can reach. Contexts are told apart by a 128-bit BLAKE2b
+digest of their bytes; those that occur twice are repeats as a whole, so only one of each goes on, and
+only where its anchor has other contexts. (Comparing the bytes of all equal contexts instead would send
+each copied byte four times through a shuffle.)
 
 Comparing. For the contexts of an anchor two suffix orders are made, of what follows it and of what
 precedes it reversed: merge sorts whose comparisons find the common extension by binary search over
 prefix polynomial hashes; the extensions of neighbours are then verified byte by byte (on a collision
 all is done again with another base). Windows are equal if they fall in one class of both orders.
-An anchor with more than RUN_LIMIT contexts is decided by counting the hashes of its windows instead,
-which combine map-side, so that no task holds them all.
+
+An anchor with more than RUN_LIMIT contexts is split: a window that begins lo to hi - 1 bytes before the
+anchor holds the lo bytes before it and SPAN - hi + 1 bytes from it on, so for each of RANGES ranges only
+contexts that agree in these bytes meet, and these smaller groups are sorted like the others. A group that
+is still too large agrees in nearly all of a window; then whole windows' digests are counted, which
+combines map-side. No task holds more than RUN_LIMIT contexts.
 
 Lost bytes are judged on the input. Nulls: a null text is empty; null or repeated ids do no harm, since
 rows are told apart by id and text, and equal rows are repeats of each other. Texts shorter than SPAN
-lose nothing. Rows come out as often as they went in; an empty table gives no rows.
+lose nothing; long ones are read in segments. Rows come out as often as they went in; an empty table
+gives no rows. Extra columns are left behind unless named in `carry`; a carried name that the result has
+itself is refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -30,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, trimmed
+from .common import drop, join_by_key, save, small_batches, trimmed
 
 SPAN = 400
 GRAM = 64
@@ -38,6 +47,7 @@ WIDTH = SPAN - GRAM + 1  # gram positions in a window, and the number of its pla
 SEGMENT = 1 << 18
 BLOCK = 2048
 RUN_LIMIT = 16_000
+RANGES = 8
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
 
 
@@ -105,28 +115,41 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(hashes)[first]
 
 
+def digest(data: bytes, mark: int) -> tuple[int, int]:
+    """128 bits of BLAKE2b as two signed numbers."""
+    d = hashlib.blake2b(data, digest_size=16, key=mark.to_bytes(8, "little", signed=True)).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def columns(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
+
+
 @trimmed
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["rk", "ah", "ch", "pos", "right"]
+    names = ["rk", "ah", "ch", "cv", "pos", "right"]
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in names]
         for rk, text in zip(b.column(0).to_pylist(), b.column(1)):
             raw = (text.as_py() or "").encode("utf-8", "replace")
             if len(raw) < SPAN:
                 continue
             at, h = anchors(raw)
-            out[0].append(np.full(len(at), rk, np.int64))
-            out[1].append(h)
-            ctx = [xxhash.xxh3_64_intdigest(raw[max(0, a - WIDTH + 1) : a + SPAN], min(a, WIDTH - 1)) for a in at.tolist()]
-            out[2].append(np.array(ctx, np.uint64).view(np.int64))
-            out[3].append(at)
-            out[4].append(np.minimum(len(raw) - at, SPAN))
+            ctx = np.array([digest(raw[max(0, a - WIDTH + 1) : a + SPAN], min(a, WIDTH - 1)) for a in at.tolist()], np.int64)
+            for column, x in zip(out, (np.full(len(at), rk, np.int64), h, ctx[:, 0], ctx[:, 1], at, np.minimum(len(raw) - at, SPAN))):
+                column.append(x)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
 
+#: Rows of contexts: the anchor's hash (or that of a part of it), the context's digest, bytes before the anchor, bytes.
+CTX = "ah long, ch long, cv long, left int, ctx binary"
+CTX_NAMES = ["ah", "ch", "cv", "left", "ctx"]
+CTX_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted: [(ah, ch, pos)]) to rows of (ah, ch, left, ctx). A context is compressed by itself: in a
+    """(text, wanted: [(ah, ch, cv, pos)]) to rows of contexts. A context is compressed by itself: in a
     shuffle to many partitions few rows travel together, so the shuffle's own compression hardly acts."""
     for b in batches:
         for text, wanted in zip(b.column(0), b.column(1)):
@@ -135,7 +158,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pos = w.field("pos").to_pylist()
             ctx = [zlib.compress(raw[max(0, p - WIDTH + 1) : p + SPAN], 6, -15) for p in pos]
             left = [min(p, WIDTH - 1) for p in pos]
-            yield pa.RecordBatch.from_arrays([w.field("ah"), w.field("ch"), pa.array(left, pa.int32()), pa.array(ctx, pa.binary())], ["ah", "ch", "left", "ctx"])
+            yield pa.RecordBatch.from_arrays([w.field("ah"), w.field("ch"), w.field("cv"), pa.array(left, pa.int32()), pa.array(ctx, pa.binary())], CTX_NAMES)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each context once for every range of window starts that it has windows in, under a hash of the
+    bytes that all such windows share."""
+    edges = [WIDTH * i // RANGES for i in range(RANGES + 1)]
+    for b in batches:
+        rows = []
+        for ah, ch, cv, left, packed in zip(*(c.to_pylist() for c in b.columns)):
+            ctx = zlib.decompress(packed, -15)
+            for lo, hi in zip(edges, edges[1:]):
+                if lo <= left and len(ctx) - left >= SPAN - hi + 1:
+                    rows.append((digest(ctx[left - lo : left + SPAN - hi + 1], ah ^ lo)[0], ch, cv, left, packed))
+        yield columns(rows, CTX_NAMES, CTX_KINDS)
 
 
 class Suffixes:
@@ -237,17 +274,17 @@ def compare(run: np.ndarray, left: np.ndarray, ctx: list[bytes]) -> tuple[np.nda
 
 @trimmed
 def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ah and ch: whole runs, about BLOCK rows at a time."""
+    """Rows of contexts sorted by ah, ch, cv: whole runs, about BLOCK rows at a time."""
 
     def out(t: pa.Table) -> pa.RecordBatch:
-        ah, ch = t.column("ah").to_numpy(), t.column("ch").to_numpy()
-        again = (ah[1:] == ah[:-1]) & (ch[1:] == ch[:-1])
+        ah, ch, cv = (t.column(c).to_numpy() for c in ("ah", "ch", "cv"))
+        again = (ah[1:] == ah[:-1]) & (ch[1:] == ch[:-1]) & (cv[1:] == cv[:-1])
         if again.any():
             t = t.filter(pa.array(np.concatenate(([True], ~again))))
-            ah, ch = t.column("ah").to_numpy(), t.column("ch").to_numpy()
+            ah, ch, cv = (t.column(c).to_numpy() for c in ("ah", "ch", "cv"))
         lo, hi = compare(np.cumsum(np.concatenate(([0], ah[1:] != ah[:-1]))), t.column("left").to_numpy().astype(np.int64), [zlib.decompress(c, -15) for c in t.column("ctx").to_pylist()])
         some = hi > 0
-        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ah, ch, lo, hi)], ["ah", "ch", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ch, cv, lo, hi)], ["ch", "cv", "lo", "hi"])
 
     held = None
     for b in batches:
@@ -264,41 +301,51 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a context as (ah, ch, d, two hashes)."""
+    """Every window of a context as (ch, cv, d, digest)."""
     for b in batches:
-        for ah, ch, left, ctx in zip(*(c.to_pylist() for c in b.columns)):
+        for _, ch, cv, left, ctx in zip(*(c.to_pylist() for c in b.columns)):
             ctx = zlib.decompress(ctx, -15)
             ds = range(max(0, SPAN - (len(ctx) - left)), left + 1)
-            hs = [xxhash.xxh3_128_intdigest(ctx[left - d : left - d + SPAN]) for d in ds]
-            split = lambda k: pa.array(np.array([(h >> k) & (1 << 64) - 1 for h in hs], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([ah] * len(hs), pa.int64()), pa.array([ch] * len(hs), pa.int64()), pa.array(list(ds), pa.int64()), split(0), split(64)], ["ah", "ch", "d", "h1", "h2"])
+            yield columns([(ch, cv, d, *digest(ctx[left - d : left - d + SPAN], d)) for d in ds], ["ch", "cv", "d", "h1", "h2"], [pa.int64()] * 5)
 
 
 def coverage(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     """docs: (rk, text) to (rk, ranges: array of (s, e)): what repeated windows cover, by anchor."""
-    found = save(docs.mapInArrow(_find, "rk long, ah long, ch long, pos long, right long"), "anchors")
-    distinct = found.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("rk", "pos")).alias("rep"))
-    per = distinct.groupBy("ah").agg(F.count("*").alias("k"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    distinct = save(distinct.join(per, "ah"), "contexts")
-    wanted = distinct.where("k > 1").groupBy("rep.rk").agg(F.collect_list(F.struct("ah", "ch", "rep.pos")).alias("wanted"))
+    found = save(docs.mapInArrow(_find, "rk long, ah long, ch long, cv long, pos long, right long"), "anchors")
+    per = save(found.groupBy("ah").agg(F.count("*").alias("all")).where("all > 1"), "anchors-met")
+    again = join_by_key(found, per, ["ah"], "all")
+    distinct = save(again.groupBy("ch", "cv").agg(F.first("ah").alias("ah"), F.count("*").alias("n"), F.min(F.struct("rk", "pos")).alias("rep")), "contexts")
+    drop(per)
+    k = save(distinct.groupBy("ah").agg(F.count("*").alias("k")).where("k > 1"), "contexts-met")
+    wanted = join_by_key(distinct, k, ["ah"], "k").groupBy("rep.rk").agg(F.collect_list(F.struct("ah", "ch", "cv", "rep.pos")).alias("wanted"))
+    wanted = save(wanted, "contexts-wanted")
     # a repeated row gives its contexts again; _compare_runs passes over them
-    ctx = docs.join(wanted, "rk").select("text", "wanted").mapInArrow(_contexts, "ah long, ch long, left int, ctx binary")
-    hot = distinct.where(F.col("k") > run_limit).select("ah").distinct()
-    parts = []
+    ctx = docs.join(wanted, "rk").select("text", "wanted").mapInArrow(_contexts, CTX)
+    compared = lambda rows: rows.repartition("ah").sortWithinPartitions("ah", "ch", "cv").mapInArrow(_compare_runs, "ch long, cv long, lo long, hi long")
+    # anchors with over run_limit contexts: how many there are is bounded by the contexts over the limit
+    hot = k.where(F.col("k") > run_limit)
     if hot.limit(1).count():
         ctx = save(ctx, "context-bytes")
-        w = ctx.join(hot, "ah", "left_semi").dropDuplicates(["ah", "ch"]).mapInArrow(_windows, "ah long, ch long, d long, h1 long, h2 long")
-        twice = w.groupBy("ah", "d", "h1", "h2").count().where("count > 1").drop("count")
-        parts.append(w.join(twice, ["ah", "d", "h1", "h2"], "left_semi").groupBy("ah", "ch").agg(F.max("d").alias("lo"), (SPAN - F.min("d")).alias("hi")))
-        ctx = ctx.join(hot, "ah", "left_anti")
-    parts.append(ctx.repartition("ah").sortWithinPartitions("ah", "ch").mapInArrow(_compare_runs, "ah long, ch long, lo long, hi long"))
-    once = save(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], "windows")
-    whole = distinct.where("n > 1").select("ah", "ch", F.lit(SPAN).cast("long").alias("lo"), F.lit(SPAN).cast("long").alias("hi"))
-    once = once.join(distinct.where("n = 1").select("ah", "ch"), ["ah", "ch"], "left_semi")
-    cover = whole.unionByName(once.select("ah", "ch", "lo", "hi"))
+        split = save(join_by_key(ctx, hot, ["ah"], "k").mapInArrow(_split, CTX), "context-parts")
+        size = save(split.groupBy("ah").agg(F.count("*").alias("k")), "context-parts-met")
+        w = join_by_key(split, size.where(F.col("k") > run_limit), ["ah"], "k").dropDuplicates(["ch", "cv"]).mapInArrow(_windows, "ch long, cv long, d long, h1 long, h2 long")
+        w = save(w.distinct(), "context-windows")
+        twice = save(w.groupBy("d", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1"), "context-windows-met")
+        counted = join_by_key(w, twice, ["d", "h1", "h2"], "k").groupBy("ch", "cv").agg(F.max("d").alias("lo"), (SPAN - F.min("d")).alias("hi"))
+        some = compared(ctx.join(k.where(F.col("k") <= run_limit).select("ah"), "ah", "left_semi"))
+        part = compared(split.join(size.where(F.col("k") <= run_limit).select("ah"), "ah", "left_semi"))
+        once = some.unionByName(part).unionByName(counted).groupBy("ch", "cv").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    else:
+        once = compared(ctx)
+    whole = distinct.where("n > 1").select("ch", "cv", F.lit(SPAN).cast("long").alias("lo"), F.lit(SPAN).cast("long").alias("hi"), "n")
+    once = once.join(distinct.where("n = 1").select("ch", "cv", "n"), ["ch", "cv"])
+    cover = save(whole.unionByName(once.select(*whole.columns)), "windows")
+    for table in (distinct, k, wanted):
+        drop(table)
     start = F.col("pos") - F.least("lo", "pos", F.lit(WIDTH - 1))
-    ranges = found.join(cover, ["ah", "ch"]).select("rk", F.struct(start.alias("s"), (F.col("pos") + F.least("hi", "right")).alias("e")).alias("r"))
-    return ranges.groupBy("rk").agg(F.collect_set("r").alias("ranges"))
+    ranges = join_by_key(found, cover, ["ch", "cv"], "n").select("rk", F.struct(start.alias("s"), (F.col("pos") + F.least("hi", "right")).alias("e")).alias("r"))
+    # saved, so that the join with the texts is of two plain tables, whose skew (many equal rows) Spark splits
+    return save(ranges.groupBy("rk").agg(F.collect_set("r").alias("ranges")), "ranges")
 
 
 @trimmed
@@ -337,6 +384,9 @@ def _apply(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), run_limit: int = RUN_LIMIT, as_text: bool = False) -> DataFrame:
     """n_bytes, n_removed, spans (maximal removed runs of bytes), kept (the other bytes), id_col and the columns in carry.
     as_text: kept is a string without characters cut in half; a text that lost nothing is as it was, null included."""
+    if clash := {c.lower() for c in carry} & {id_col.lower(), "n_bytes", "n_removed", "spans", "kept"}:
+        raise ValueError(f"the result has columns of these names itself: {sorted(clash)}")
+    small_batches(docs.sparkSession)
     rk = F.xxhash64(F.col(id_col), F.col(text_col))
     cols = [id_col, *carry]
     # narrow names inside, so that a column called text or rk can be carried

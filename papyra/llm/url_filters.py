@@ -3,12 +3,14 @@
 A url is expanded into the expressions `host suffix + path prefix`; each is looked up by the first
 32 bits of its SHA-256 (an equi-join), then the full digest is compared, then the longest rule wins.
 Only suffixes with as many labels, and prefixes as long, as some rule has can match, so only these
-are made. Urls are looked up once per distinct (host, leading path).
+are made. Urls are looked up once per distinct (host, leading path); hosts with a large share of all
+pages get their rule by broadcast, so their pages stay where they are.
 
 Nulls: a null url, or one without `://`, has empty host and path, and gets the default verdict.
 Rules with a null or empty host, or a null verdict, match nothing. Among equally long rules the one
 with the longer host wins, then `block` before `allow`; repeated rules count once. Rows are neither
-dropped nor merged, repeated rows stay, and extra columns of the input are left behind.
+dropped nor merged, repeated rows stay, and extra columns of the input are left behind. An empty table of
+pages gives no rows, an empty list of rules the default; urls may be of any length.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_by_key, save
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules (each row under about 200 bytes) the rule side is broadcast; beyond, it is shuffled.
 BROADCAST_RULES = 50_000
@@ -53,7 +57,8 @@ def judge_urls(
         id_col, "host", "path", F.substring("path", 1, top).alias("lead")
     )
     ints = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<int>")
-    keys = rows.where("host <> ''").select("host", "lead").distinct().withColumn("parts", F.split("host", r"\."))
+    met = save(rows.groupBy("host", "lead").agg(F.count("*").alias("met")), "url-keys")
+    keys = met.where("host <> ''").select("host", "lead").withColumn("parts", F.split("host", r"\."))
     n = F.size("parts")
     suffixes = F.transform(
         F.filter(ints(need["labels"]), lambda k: k <= n), lambda k: F.array_join(F.slice("parts", n - k + 1, k), ".")
@@ -74,7 +79,8 @@ def judge_urls(
         .groupBy("host", "lead")
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.length("rhost").alias("h"), "rverdict", "rule")).alias("best"))
     )
-    return rows.join(best, ["host", "lead"], "left").select(
+    ruled = save(met.join(best, ["host", "lead"], "left"), "url-rules")
+    return join_by_key(rows, ruled, ["host", "lead"], "met").select(
         id_col, "host", "path", F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.rverdict"), F.lit(default)).alias("verdict"),
     )

@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from papyra.llm import bpe, embeddings, langid, mixing, quality, sharding, simhash, suffix_dedup, toxicity, url_filters
-from papyra.llm.common import connected_components
+from papyra.llm.common import ONE_TASK, connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,9 +39,10 @@ def same(df, cols):
     return sorted([tuple(r) for r in df.select(*cols).collect()], key=str)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [ONE_TASK, 0])
+def test_components(spark, one_task):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (7, 3)] + [(i, i + 1) for i in range(100, 160)]
-    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()))
     assert got == {2: 1, 3: 1, 7: 1, 9: 8} | {i: 100 for i in range(101, 161)}
     assert not connected_components(spark.createDataFrame([], "a long, b long")).count()
 
@@ -76,6 +77,27 @@ def test_simhash(docs, spark):
         assert {f: roots.get(f, f) for f in fps} == {f: find(f) for f in fps}
 
 
+def test_shared_passages(spark):
+    """Passages of 50 to 75 words, under and over 400 bytes, planted in many texts, against all windows'
+    hashes; the anchors within a passage have more contexts than the limit."""
+    g = np.random.default_rng(11)
+    planted = [prose(50 + 5 * i, 700 + i) for i in range(6)]
+    texts = [f"{prose(40, 10_000 + i)} {planted[i % 6]} {prose(40, 50_000 + i)}" for i in range(900)] + [prose(90, 90_000 + i) for i in range(100)]
+    texts += [" ".join((prose(int(g.integers(0, 3)), 95_000 + i), planted[5], prose(int(g.integers(0, 3)), 96_000 + i))) for i in range(300)]
+    got = suffix_dedup.digests(suffix_dedup.remove_repeats(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), run_limit=100)).collect()
+    raws = [t.encode() for t in texts]
+    hashes = [np.array([xxhash.xxh3_64_intdigest(r[i : i + 400]) for i in range(len(r) - 399)], np.uint64) for r in raws]
+    values, counts = np.unique(np.concatenate(hashes), return_counts=True)
+    again = set(values[counts > 1].tolist())
+    assert sum(r.n_removed > 0 for r in got) > 300
+    for r in got:
+        mark = np.zeros(len(raws[r.doc_id]) + 1, int)
+        for i in np.flatnonzero([h in again for h in hashes[r.doc_id].tolist()]).tolist():
+            mark[i : i + 400] = 1
+        kept = np.frombuffer(raws[r.doc_id], np.uint8)[mark[:-1] == 0].tobytes()
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(raws[r.doc_id]), int(mark[:-1].sum()), hashlib.sha256(kept).hexdigest())
+
+
 def slow_repeats(texts, span=400):
     raws = [(t or "").encode() for t in texts]
     n = collections.Counter(r[i : i + span] for r in raws for i in range(len(r) - span + 1))
@@ -92,7 +114,7 @@ def slow_repeats(texts, span=400):
     return out
 
 
-@pytest.mark.parametrize("limit", [suffix_dedup.RUN_LIMIT, 1])
+@pytest.mark.parametrize("limit", [suffix_dedup.RUN_LIMIT, 3, 1])
 def test_suffix_dedup(docs, limit):
     got = suffix_dedup.digests(suffix_dedup.remove_repeats(docs, carry=("text", "fp"), run_limit=limit))
     rows = docs.collect()
@@ -101,6 +123,12 @@ def test_suffix_dedup(docs, limit):
     assert not suffix_dedup.remove_repeats(docs.limit(0)).count()
 
 
+def test_extreme_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 0.0]), (2, [1e-200, 0.0]), (3, [1.0, 0.0]), (4, [5e-324, 0.0]), (5, [1e308, 1e308]), (6, [1e-300, 1e-300]), (7, [-1.0, 0.0])]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i].component_id for i in range(8)] == [0, 0, 0, 0, 0, 5, 5, 7] and [got[i].n_links for i in range(8)] == [4] * 5 + [1, 1, 0]
+
+
 def test_embeddings(spark):
     g = np.random.default_rng(3)
     x = [(g.normal(size=8) * 0.04 + c).tolist() for c in g.normal(size=(6, 8)) for _ in range(40)]
