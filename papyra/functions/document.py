@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -10,8 +9,10 @@ from collections.abc import Iterator
 from .cos import Name, Op, Reader, Ref, Stream, write
 from .crypto import Handler
 from .filters import decode
+from .fonts import to_unicode  # noqa: F401
 
 _OBJ = re.compile(rb"(?<!\d)(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj")
+_HEADING = re.compile(rb"(?<!\d)(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj|\(|%[^\r\n]*|(?<!end)stream\r?\n")
 MAX_SECTIONS = 1024
 SLACK = 4096
 
@@ -112,7 +113,21 @@ class Document:
         return m.start() if m and int(m[1]) == num else None
 
     def scan(self) -> dict[int, tuple]:
-        return {int(m[1]): ("f", m.start(), int(m[2])) for m in _OBJ.finditer(self.data)}
+        """Objects by their headings; strings, comments and the bodies of streams are passed over."""
+        out, data, at = {}, self.data, 0
+        while m := _HEADING.search(data, at):
+            at = m.end()
+            if m[1]:
+                out[int(m[1])] = ("f", m.start(1), int(m[2]))
+            elif m[0] == b"(":
+                r = Reader(data, m.start())
+                r.string()
+                # a string that never ends hides nothing
+                at = r.at if r.at < len(data) else m.end()
+            elif m[0].startswith(b"stream"):
+                end = data.find(b"endstream", at)
+                at = end + 9 if end >= 0 else at
+        return out
 
     def repair(self, wrong: list[int]) -> None:
         found = self.scan()
@@ -219,6 +234,7 @@ class Document:
         return self.handler.turned(v, num, int(m[0].split()[1])) if self.handler.valid and m else v
 
     def field(self, d, key: str):
+        d = self.get(d) if isinstance(d, Ref) else d
         v = d.get(key) if isinstance(d, dict) else None
         return self.get(v) if isinstance(v, Ref) else v
 
@@ -264,7 +280,7 @@ class Document:
         if crop[2] <= crop[0] or crop[3] <= crop[1]:
             crop = media
         turn = self.field(page, "Rotate")
-        return media, crop, int(round((turn or 0) / 90) * 90) % 360 if isinstance(turn, (int, float)) else 0
+        return media, crop, (int(turn) + 45) // 90 * 90 % 360 if isinstance(turn, (int, float)) else 0
 
     def content(self, page: dict) -> bytes:
         parts = self.field(page, "Contents")
@@ -312,62 +328,6 @@ def operations(content: bytes) -> Iterator[tuple[str, list, int, int]]:
         yield "", operands, start, len(content)
 
 
-WIN_ANSI = {i: bytes([i]).decode("cp1252", "replace") for i in range(256)}
-BASES = {"WinAnsiEncoding": "cp1252", "MacRomanEncoding": "mac_roman", "StandardEncoding": "latin-1"}
-
-
-def to_unicode(cmap: bytes) -> dict[int, str]:
-    out: dict[int, str] = {}
-    text = lambda b: b.decode("utf-16-be", "replace")
-    stack: list = []
-    r = Reader(cmap, refs=False)
-    try:
-        while len(out) < 65_536:
-            v = r.value()
-            if not isinstance(v, Op):
-                stack.append(v)
-                continue
-            if v == "endbfchar":
-                out |= {int.from_bytes(a): text(b) for a, b in zip(stack[::2], stack[1::2]) if isinstance(a, bytes) and isinstance(b, bytes)}
-            elif v == "endbfrange":
-                for a, b, c in zip(stack[::3], stack[1::3], stack[2::3]):
-                    for i in range(int.from_bytes(a), min(int.from_bytes(b), int.from_bytes(a) + 65_535) + 1):
-                        k = i - int.from_bytes(a)
-                        if isinstance(c, list):
-                            if k < len(c):
-                                out[i] = text(c[k])
-                        else:
-                            out[i] = text(c[:-2] + (int.from_bytes(c[-2:]) + k & 0xFFFF).to_bytes(2))
-            stack = []
-    except (EOFError, TypeError):
-        pass
-    return out
-
-
-class Font:
-    def __init__(self, doc: Document, d):
-        d = d if isinstance(d, dict) else {}
-        self.wide = d.get("Subtype") == "Type0"
-        cmap, enc = doc.field(d, "ToUnicode"), doc.field(d, "Encoding")
-        self.map = to_unicode(doc.decoded(cmap)[0]) if isinstance(cmap, Stream) else {}
-        base = doc.field(enc, "BaseEncoding") if isinstance(enc, dict) else enc
-        self.codec = BASES.get(base, "latin-1") if isinstance(base, str) else None
-        self.first, self.widths = doc.field(d, "FirstChar") or 0, doc.field(d, "Widths") or []
-
-    def codes(self, s: bytes) -> list[int]:
-        return [int.from_bytes(s[i : i + 2]) for i in range(0, len(s), 2)] if self.wide else list(s)
-
-    def text(self, code: int) -> str:
-        if code in self.map:
-            return self.map[code]
-        return bytes([code]).decode(self.codec or "latin-1", "ignore") if code < 256 and not self.wide else ""
-
-    def width(self, code: int) -> float:
-        i = code - self.first
-        w = self.widths[i] if 0 <= i < len(self.widths) else None
-        return float(w) if isinstance(w, (int, float)) else 1000.0 if self.wide else 500.0
-
-
 def times(a: tuple, b: tuple) -> tuple:
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3],
             a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
@@ -375,50 +335,10 @@ def times(a: tuple, b: tuple) -> tuple:
 
 def runs(doc: Document, page: dict) -> Iterator[tuple[str, float, float, float, float, float]]:
     """(text, start x, start y, end x, end y, size) of each shown string, in page space."""
-    fonts = {k: Font(doc, v) for k, v in doc.fonts(page).items()}
-    fallback = Font(doc, {})
-    ctm = line = tm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-    state = {"font": fallback, "size": 1.0, "Tc": 0.0, "Tw": 0.0, "Tz": 100.0, "TL": 0.0, "Ts": 0.0}
-    stack: list = []
-    for op, args, _, _ in operations(doc.content(page)):
-        nums = [float(a) for a in args if isinstance(a, (int, float)) and not isinstance(a, bool)]
-        if op == "q" and len(stack) < 64:
-            stack.append((ctm, dict(state)))
-        elif op == "Q" and stack:
-            ctm, state = stack.pop()
-        elif op == "cm" and len(nums) == 6:
-            ctm = times(tuple(nums), ctm)
-        elif op == "BT":
-            line = tm = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-        elif op == "Tf" and nums:
-            state["font"], state["size"] = fonts.get(args[0], fallback) if isinstance(args[0], Name) else fallback, nums[-1]
-        elif op in ("Tc", "Tw", "Tz", "TL", "Ts") and nums:
-            state[op] = nums[-1]
-        elif op in ("Td", "TD") and len(nums) == 2:
-            state["TL"] = -nums[1] if op == "TD" else state["TL"]
-            line = tm = times((1, 0, 0, 1, *nums), line)
-        elif op == "Tm" and len(nums) == 6:
-            line = tm = tuple(nums)
-        elif op in ("T*", "'", '"'):
-            if op == '"' and len(nums) == 2:
-                state["Tw"], state["Tc"] = nums
-            line = tm = times((1, 0, 0, 1, 0, -state["TL"]), line)
-        if op in ("Tj", "TJ", "'", '"') and args:
-            parts = args[-1] if isinstance(args[-1], list) else [args[-1]]
-            f, size, th = state["font"], state["size"], state["Tz"] / 100
-            at = times((1, 0, 0, 1, 0, state["Ts"]), times(tm, ctm))
-            out = []
-            for p in parts:
-                if isinstance(p, bytes):
-                    for c in f.codes(p):
-                        out.append(f.text(c))
-                        step = (f.width(c) / 1000 * size + state["Tc"] + (state["Tw"] if c == 32 and not f.wide else 0)) * th
-                        tm = times((1, 0, 0, 1, step, 0), tm)
-                elif isinstance(p, (int, float)):
-                    tm = times((1, 0, 0, 1, -p / 1000 * size * th, 0), tm)
-            end = times((1, 0, 0, 1, 0, state["Ts"]), times(tm, ctm))
-            scale = max(1.0, math.sqrt(abs(at[0] * at[3] - at[1] * at[2])))
-            yield "".join(out), at[4], at[5], end[4], end[5], max(1.0, size * scale)
+    from .interp import text_marks
+
+    for m in text_marks(doc, page):
+        yield m.text, *m.line, m.size
 
 
 def write_file(objects: dict[int, object], root: int, info: int | None = None, extra: dict | None = None) -> bytes:

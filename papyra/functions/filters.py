@@ -7,27 +7,57 @@ import base64
 import re
 import zlib
 
-MAX_BYTES = 1 << 30
+#: Bounds of one stream: bytes out, and bytes out for each byte in (small streams apart).
+MAX_BYTES, MAX_RATIO, SLACK_BYTES = 1 << 30, 1200, 1 << 20
+PIECE = 1 << 22
 
 
-def flate(data: bytes) -> tuple[bytes, str]:
+def flate(data: bytes, most: int = MAX_BYTES) -> tuple[bytes, str]:
+    """zlib, else bare deflate; stops with a note at `most` bytes, or at MAX_RATIO times the input."""
     best, note = b"", "not a deflate stream"
+    most = min(most, max(MAX_RATIO * len(data), SLACK_BYTES))
     for bits in (15, -15):
-        d, out = zlib.decompressobj(bits), []
+        d, out, n, why = zlib.decompressobj(bits), [], 0, ""
+        rest = data
         try:
-            for i in range(0, len(data), 4096):
-                out.append(d.decompress(data[i : i + 4096], MAX_BYTES))
-            why = "" if d.eof else "stream ends early"
+            while not d.eof and (rest or d.unconsumed_tail) and n <= most:
+                got = d.decompress(d.unconsumed_tail or rest, min(PIECE, most - n + 1))
+                rest = b""
+                out.append(got)
+                n += len(got)
+                if not got and not d.unconsumed_tail:
+                    break
+            why = f"more than {most} bytes" if n > most else "" if d.eof else "stream ends early"
         except zlib.error as e:
             why = str(e)
-        got = b"".join(out)
-        if not why:
-            return got, ""
-        if len(got) > len(best):
-            best, note = got, why
+            out += _prefix(data, bits, n)
+        joined = b"".join(out)[:most]
+        if not why or why.startswith("more"):
+            return joined, why
+        if len(joined) > len(best):
+            best, note = joined, why
     return best, note
 
 
+def _prefix(data: bytes, bits: int, have: int) -> list[bytes]:
+    """What can be decoded after the first `have` bytes before the damage, by ever smaller steps."""
+    d, out, n, i, step = zlib.decompressobj(bits), [], 0, 0, 4096
+    while i < len(data):
+        saved = d.copy()
+        try:
+            got = d.decompress(data[i : i + step])
+            i += step
+            out.append(got)
+            n += len(got)
+        except zlib.error:
+            if step == 1:
+                break
+            d, step = saved, max(1, step // 8)
+        if n > MAX_BYTES:
+            break
+    return [b"".join(out)[have:]]
+
+
 def lzw(data: bytes, early: int = 1) -> tuple[bytes, str]:
     table: list[bytes] = []
     width, bits, have, out, last = 9, 0, 0, [], b""
@@ -128,6 +158,32 @@ def predict(data: bytes, parms: dict) -> tuple[bytes, str]:
     return b"".join(out), ""
 
 
+def run_length_encode(data: bytes) -> bytes:
+    out, i = bytearray(), 0
+    while i < len(data):
+        n = 1
+        while n < 128 and data[i + n : i + n + 1] == data[i : i + 1]:
+            n += 1
+        if n > 1:
+            out += bytes([257 - n, data[i]])
+            i += n
+            continue
+        end = i + 1
+        while end < len(data) and end - i < 128 and data[end : end + 1] != data[end + 1 : end + 2]:
+            end += 1
+        out += bytes([end - i - 1]) + data[i:end]
+        i = end
+    return bytes(out) + b"\x80"
+
+
+def ascii_hex_encode(data: bytes) -> bytes:
+    return data.hex().upper().encode() + b">"
+
+
+def ascii85_encode(data: bytes) -> bytes:
+    return base64.a85encode(data) + b"~>"
+
+
 SHORT = {"Fl": "FlateDecode", "LZW": "LZWDecode", "RL": "RunLengthDecode", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode"}
 
 
