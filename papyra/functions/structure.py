@@ -47,7 +47,8 @@ def named_destinations(doc: Document) -> dict[str, object]:
 
 
 def target_page(dest, named: dict[str, object], numbers: dict[int, int]) -> int | None:
-    """The page of an explicit or named destination; null where it leads nowhere."""
+    """The page of an explicit or named destination: the first where its page is not in the file, null where
+    it is no destination."""
     for _ in range(4):
         if isinstance(dest, bytes):
             dest = named.get(dest.decode("latin-1"))
@@ -57,7 +58,7 @@ def target_page(dest, named: dict[str, object], numbers: dict[int, int]) -> int
             dest = dest.get("D")
     if not isinstance(dest, list) or not dest:
         return None
-    return numbers.get(dest[0].num) if isinstance(dest[0], Ref) else dest[0] if isinstance(dest[0], int) else None
+    return numbers.get(dest[0].num, 0) if isinstance(dest[0], Ref) else dest[0] if isinstance(dest[0], int) else 0
 
 
 def outlines(doc: Document) -> Iterator[tuple[list[int], int, str | None, int | None]]:
@@ -150,6 +151,23 @@ def annotations(doc: Document) -> Iterator[tuple[int, int, str | None, list[floa
                 yield page, i, str(doc.field(a, "Subtype") or "") or None, doc.rect(doc.field(a, "Rect")), flags if isinstance(flags, int) else 0, text_of(doc.field(a, "Contents")), text_of(doc.field(a, "T"))
 
 
+def label_ranges(doc: Document) -> Iterator[tuple[int, str | None, str | None, int]]:
+    """(start, style, prefix, first) of the page labels' number tree, in order."""
+
+    def walk(node, depth: int):
+        if not isinstance(node, dict) or depth > DEPTH:
+            return
+        nums = resolved(doc, node.get("Nums"))
+        for start, d in zip(nums[::2], nums[1::2]):
+            if isinstance(start, int) and isinstance(d, dict):
+                style, first = doc.field(d, "S"), doc.field(d, "St")
+                yield start, str(style) if isinstance(style, Name) else None, text_of(doc.field(d, "P")), first if isinstance(first, int) else 1
+        for kid in resolved(doc, node.get("Kids")):
+            yield from walk(kid, depth + 1)
+
+    yield from walk(doc.field(catalog(doc), "PageLabels"), 0)
+
+
 def signed(doc: Document) -> bool:
     """A signature field with a value, or a dictionary with ByteRange and Contents, anywhere."""
 

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import structure as structure_kernel
 from ..functions.crypto import sealed
 from ..operators import relational as R
 from ..sources import pdf, structure
+from . import file_queries  # noqa: F401 - registers its queries
+from .registry import CATALOG, query, t  # noqa: F401
 
-CATALOG: dict[str, tuple] = {}
-
-
-def query(sql: str | None):
-    """Registers the function under q_<its name> with its SQL."""
-
-    def register(f):
-        CATALOG[f"q_{f.__name__}"] = (f, sql)
-        return f
-
-    return register
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def generated(spark: SparkSession, d: str) -> DataFrame:
@@ -60,13 +46,6 @@ def pdf_objects_by_kind(spark, d):
     return pdf.objects(generated(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n")
-def pdf_dangling_refs(spark, d):
-    pdfs = generated(spark, d)
-    have = pdf.objects(pdfs).select("doc_id", F.col("num").alias("dst"))
-    return pdf.refs(pdfs).join(have, ["doc_id", "dst"], "left_anti").agg(F.count("*").alias("n"))
-
-
 @query(f"SELECT doc_id, i AS page_index, 612.0 AS width, 792.0 AS height, CAST(0 AS BIGINT) AS rotation FROM (SELECT doc_id, unnest(range(CAST(ceil({LINES} / 40.0) AS BIGINT))) AS i FROM documents)")
 def pdf_pages(spark, d):
     return pdf.pages(generated(spark, d)).select("doc_id", "page_index", "width", "height", "rotation")
@@ -94,78 +73,6 @@ def rotate_normalise(spark, d):
     return t(spark, d, "part").select("p_partkey", R.right_angle(F.col("p_size") * 37 - 900).alias("rotation"))
 
 
-@query("SELECT l_orderkey, l_linenumber, greatest(l_quantity, 10.0) AS l, least(l_quantity + 20.0, 50.0) AS r, least(l_quantity + 20.0, 50.0) <= greatest(l_quantity, 10.0) AS empty FROM lineitem")
-def crop_intersect(spark, d):
-    left, right = F.greatest("l_quantity", F.lit(10.0)), F.least(F.col("l_quantity") + 20.0, F.lit(50.0))
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", left.alias("l"), right.alias("r"), (right <= left).alias("empty"))
-
-
-@query("SELECT l_returnflag AS kind, l_linestatus AS form, count(*) AS n FROM lineitem GROUP BY ALL")
-def object_counts(spark, d):
-    return t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("form")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT l_orderkey, sum(l_quantity) AS s, min(l_quantity) AS mn, max(l_quantity) AS mx, sum(l_quantity) / count(*) AS av FROM lineitem GROUP BY 1")
-def af_calculate(spark, d):
-    q = F.col("l_quantity")
-    return t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(q).alias("s"), F.min(q).alias("mn"), F.max(q).alias("mx"), (F.sum(q) / F.count("*")).alias("av"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'below' WHEN c_acctbal > 5000 THEN 'above' ELSE 'ok' END AS verdict FROM customer")
-def af_validate(spark, d):
-    v = F.when(F.col("c_acctbal") < 0, "below").when(F.col("c_acctbal") > 5000, "above").otherwise("ok")
-    return t(spark, d, "customer").select("c_custkey", v.alias("verdict"))
-
-
-@query("SELECT p_partkey, left(p_name, 10) AS value FROM part")
-def fill_maxlen(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.left("p_name", F.lit(10)).alias("value"))
-
-
-@query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS kept FROM documents GROUP BY 1")
-def dedupe_streams(spark, d):
-    return t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("kept"))
-
-
-@query("SELECT doc_id, sha256(text) IN (SELECT sha256(text) FROM documents WHERE source = 'src0') AS reused FROM documents WHERE source = 'src1'")
-def insert_pages_dedupe(spark, d):
-    docs = t(spark, d, "documents").withColumn("h", F.sha2("text", 256))
-    old = docs.where("source = 'src0'").select("h").distinct().withColumn("old", F.lit(True))
-    return docs.where("source = 'src1'").join(old, "h", "left").select("doc_id", F.coalesce("old", F.lit(False)).alias("reused"))
-
-
-@query("SELECT page_id, page_id // 7 AS part, page_id % 7 AS position FROM pages")
-def split_every(spark, d):
-    return t(spark, d, "pages").select("page_id", F.floor(F.col("page_id") / 7).alias("part"), (F.col("page_id") % 7).alias("position"))
-
-
-@query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT item_id FROM benchmark)")
-def delete_pages(spark, d):
-    return t(spark, d, "pages").select("page_id").join(t(spark, d, "benchmark"), F.col("page_id") == F.col("item_id"), "left_anti")
-
-
-@query("SELECT page_id FROM pages WHERE page_id IN (SELECT item_id FROM benchmark)")
-def extract_pages(spark, d):
-    return t(spark, d, "pages").select("page_id").join(t(spark, d, "benchmark"), F.col("page_id") == F.col("item_id"), "left_semi")
-
-
-@query("SELECT doc_id, md5(replace(replace(text, 'the', ''), 'und', '')) AS digest FROM documents")
-def scrub_tokens(spark, d):
-    out = F.col("text")
-    for token in ("the", "und"):
-        out = F.replace(out, F.lit(token), F.lit(""))
-    return t(spark, d, "documents").select("doc_id", F.md5(out).alias("digest"))
-
-
-@query("SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
-def leak_scan(spark, d):
-    """Every secret against every stream: the secrets, a few short strings, travel as one array."""
-    docs = t(spark, d, "documents")
-    secrets = F.broadcast(t(spark, d, "benchmark").agg(F.collect_list(F.struct("item_id", F.col("text").alias("s"))).alias("all")))
-    hit = F.filter("all", lambda x: F.contains(F.col("text"), x["s"]))
-    return docs.crossJoin(secrets).select("doc_id", F.explode(hit).alias("h")).select("doc_id", "h.item_id")
-
-
 @query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
 def xref_newest_wins(spark, d):
     return R.newest(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey")
@@ -174,39 +81,12 @@ def xref_newest_wins(spark, d):
 EDGES = "SELECT 'r' || r_regionkey AS dst, 'root' AS src FROM region WHERE r_regionkey < 3 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier"
 
 
-@query(f"WITH RECURSIVE e AS ({EDGES}), w(node) AS (SELECT 'root' UNION SELECT dst FROM e JOIN w ON src = node) SELECT node FROM w")
-def reachable_objects(spark, d):
-    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    edges = t(spark, d, "region").where("r_regionkey < 3").select(s("r", "r_regionkey").alias("dst"), F.lit("root").alias("src"))
-    edges = edges.unionByName(t(spark, d, "nation").select(s("n", "n_nationkey").alias("dst"), s("r", "n_regionkey").alias("src")))
-    edges = edges.unionByName(t(spark, d, "supplier").select(s("s", "s_suppkey").alias("dst"), s("n", "s_nationkey").alias("src")))
-    return R.reachable(edges, spark.range(1).select(F.lit("root").alias("node")), 8)
-
-
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
 def dangling_refs(spark, d):
     parts = t(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"))
     return R.dangling(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, "l_partkey").drop("l_partkey")
 
 
-@query("SELECT s_suppkey, coalesce(CASE WHEN s_acctbal > 0 THEN s_name END, CASE WHEN n_nationkey % 2 = 0 THEN n_name END, r_name) AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def inherit_attrs(spark, d):
-    rows = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("s_suppkey", F.coalesce(F.when(F.col("s_acctbal") > 0, F.col("s_name")), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")), F.col("r_name")).alias("value"))
-
-
-@query("SELECT s_suppkey, concat_ws('.', r_name, n_name, s_name) AS full_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def field_full_names(spark, d):
-    rows = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("s_suppkey", F.concat_ws(".", "r_name", "n_name", "s_name").alias("full_name"))
-
-
-@query("SELECT o_orderkey, coalesce(CASE WHEN p_size < 25 THEN p_partkey END, 0) AS page FROM orders LEFT JOIN part ON o_custkey = p_partkey")
-def dest_default(spark, d):
-    rows = t(spark, d, "orders").join(t(spark, d, "part"), F.col("o_custkey") == F.col("p_partkey"), "left")
-    return rows.select("o_orderkey", F.coalesce(F.when(F.col("p_size") < 25, F.col("p_partkey")), F.lit(0)).alias("page"))
-
-
 @query("SELECT conv_id, string_agg(part, '' ORDER BY turn) AS text FROM (SELECT conv_id, turn, CASE WHEN row_number() OVER w = 1 THEN '' ELSE chr(10) END || text AS part FROM conversations WHERE text <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY 1")
 def text_join(spark, d):
     """Turns as runs on lines of their own."""
@@ -227,17 +107,6 @@ def balance_check(spark, d):
     return R.balance(t(spark, d, "events"), ["user_id"], "event_id", "click", "view", "event_type").select("user_id", "balanced", "lowest")
 
 
-@query("SELECT p_partkey, (p_partkey & 4) <> 0 AS can_print, (p_partkey & 8) <> 0 AS can_modify, (p_partkey & 16) <> 0 AS can_extract, (p_partkey & 32) <> 0 AS can_annotate FROM part")
-def permissions_bits(spark, d):
-    bit = lambda b, n: (F.col("p_partkey").bitwiseAND(F.lit(b)) != 0).alias(n)
-    return t(spark, d, "part").select("p_partkey", bit(4, "can_print"), bit(8, "can_modify"), bit(16, "can_extract"), bit(32, "can_annotate"))
-
-
-@query("SELECT p_partkey FROM part WHERE (p_size & 2) = 0 AND (p_size & 32) = 0 AND (p_size & 4) <> 0")
-def annotation_filter(spark, d):
-    return t(spark, d, "part").where("(p_size & 2) = 0 AND (p_size & 32) = 0 AND (p_size & 4) <> 0").select("p_partkey")
-
-
 @query("SELECT l_orderkey, l_linenumber, (1 - l_discount) * (1 - l_tax) AS r, (1 - l_tax) * (1 - l_tax) AS g, (1 - 0.5) * (1 - l_tax) AS b FROM lineitem")
 def cmyk_rgb(spark, d):
     x = R.cmyk_to_rgb(F.col("l_discount"), F.col("l_tax"), F.lit(0.5), F.col("l_tax"))
@@ -252,46 +121,6 @@ def blend_separable(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[R.blend(m, F.col("l_tax"), F.col("l_discount")).alias(m) for m in _BLEND])
 
 
-@query("SELECT p_partkey, 2.0 * p_size + 0.0 * p_retailprice + 3.0 AS x, 0.0 * p_size + 2.0 * p_retailprice + 4.0 AS y FROM part")
-def matrix_apply(spark, d):
-    x, y = F.col("p_size"), F.col("p_retailprice")
-    return t(spark, d, "part").select("p_partkey", (2.0 * x + 0.0 * y + 3.0).alias("x"), (0.0 * x + 2.0 * y + 4.0).alias("y"))
-
-
-@query("SELECT l_orderkey, l_linenumber, 0.25 + l_discount * l_discount * 0.5 AS y FROM lineitem")
-def exp_function(spark, d):
-    """Type 2: C0 + x^N (C1 - C0) with N 2."""
-    x = F.col("l_discount")
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (0.25 + x * x * 0.5).alias("y"))
-
-
-@query("""WITH a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
-b AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE w <> '' GROUP BY ALL)
-SELECT doc_id, CAST(sum(CASE WHEN b.n IS NULL THEN 0 ELSE least(a.n, b.n) END) AS BIGINT) AS common, CAST(sum(a.n) AS BIGINT) AS own FROM a LEFT JOIN b USING (w) GROUP BY 1""")
-def word_f1(spark, d):
-    """Overlap of word bags: each document against the benchmark."""
-    a = R.word_counts(t(spark, d, "documents"), "doc_id", "text")
-    b = R.word_counts(t(spark, d, "benchmark").withColumn("k", F.lit(0)), "k", "text").select("word", F.col("n").alias("m"))
-    return a.join(b, "word", "left").groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("m").isNotNull(), F.least("n", "m"))), F.lit(0)).alias("common"), F.sum("n").alias("own"))
-
-
-@query("SELECT lang, count(*) AS files, CAST(sum(quality) AS BIGINT) AS good, CAST(count_if(n_chars < 500) AS BIGINT) AS short, max(n_chars) AS worst FROM documents JOIN labels USING (doc_id) GROUP BY 1")
-def corpus_report(spark, d):
-    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
-    return rows.groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.col("quality").cast("long")).alias("good"), F.count_if(F.col("n_chars") < 500).alias("short"), F.max("n_chars").alias("worst"))
-
-
-@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
-def worst_pixels(spark, d):
-    """A top-k report."""
-    return t(spark, d, "events").orderBy(F.desc("value"), "event_id").limit(20).select("event_id", "value")
-
-
-@query("SELECT doc_id, md5(text) AS m, sha1(text) AS s, sha256(text) AS h FROM documents")
-def hash_functions(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.md5("text").alias("m"), F.sha1("text").alias("s"), F.sha2("text", 256).alias("h"))
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def events_tumbling(spark, d):
     from ..streaming.events import tumbling
@@ -299,69 +128,13 @@ def events_tumbling(spark, d):
     return tumbling(t(spark, d, "events"), "1 hour")
 
 
-@query("SELECT o_orderkey, arg_max(p_partkey, p_size * 1000000 + p_partkey) AS top FROM orders JOIN part ON o_custkey = p_partkey // 2 GROUP BY 1")
-def hit_test(spark, d):
-    """Topmost object whose box holds a point: boxes two units wide, so the join is on the unit."""
-    boxes = t(spark, d, "part").select(F.floor(F.col("p_partkey") / 2).alias("o_custkey"), "p_partkey", (F.col("p_size") * 1_000_000 + F.col("p_partkey")).alias("z"))
-    return t(spark, d, "orders").join(boxes, "o_custkey").groupBy("o_orderkey").agg(F.max_by("p_partkey", "z").alias("top"))
-
-
-@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, CAST(sum(length(o_orderstatus)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - length(o_orderstatus) AS BIGINT) AS offset FROM orders")
-def drawing_order(spark, d):
-    """Rank by first byte, and where each part begins when all are laid end to end."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    n = F.length("o_orderstatus")
-    before = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - n
-    return t(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("rank"), before.cast("long").alias("offset"))
-
-
-@query("SELECT coalesce(s.s_suppkey, p.p_partkey) AS num, CASE WHEN s.s_suppkey IS NOT NULL THEN s.s_name ELSE p.p_name END AS value FROM (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) s FULL JOIN part p ON s.s_suppkey = p.p_partkey")
-def overlay_upsert(spark, d):
-    """Changed objects lie over the file's own; new ones are added."""
-    over = t(spark, d, "supplier").where("s_suppkey % 3 = 0")
-    rows = t(spark, d, "part").join(over, F.col("p_partkey") == F.col("s_suppkey"), "full")
-    value = F.when(F.col("s_suppkey").isNotNull(), F.col("s_name")).otherwise(F.col("p_name"))
-    return rows.select(F.coalesce("s_suppkey", "p_partkey").alias("num"), value.alias("value"))
-
-
-@query("SELECT p_size AS form, array_to_string(list_sort(list(p_partkey)), ' ') AS members FROM part GROUP BY 1")
-def objects_by_form(spark, d):
-    return t(spark, d, "part").groupBy(F.col("p_size").alias("form")).agg(F.array_join(F.sort_array(F.collect_list("p_partkey")).cast("array<string>"), " ").alias("members"))
-
-
-@query("SELECT p_partkey FROM part EXCEPT SELECT s_suppkey FROM supplier")
-def free_objects(spark, d):
-    return t(spark, d, "part").select("p_partkey").subtract(t(spark, d, "supplier").select("s_suppkey"))
-
-
-@query("SELECT 0 AS file, page_id AS page FROM pages UNION ALL SELECT 1, page_id + (SELECT count(*) FROM pages) FROM pages")
-def merge_documents(spark, d):
-    """Pages of the second file follow those of the first."""
-    own = t(spark, d, "pages").select("page_id")
-    n = own.agg(F.count("*").alias("n"))
-    second = own.crossJoin(F.broadcast(n)).select(F.lit(1).alias("file"), (F.col("page_id") + F.col("n")).alias("page"))
-    return own.select(F.lit(0).alias("file"), F.col("page_id").alias("page")).unionByName(second)
-
-
-@query("SELECT p_partkey, concat_ws(', ', CASE WHEN (p_partkey & 4) = 0 THEN 'print' END, CASE WHEN (p_partkey & 8) = 0 THEN 'modify' END, CASE WHEN (p_partkey & 16) = 0 THEN 'extract' END) AS denied FROM part")
-def permissions_describe(spark, d):
-    no = [F.when(F.col("p_partkey").bitwiseAND(F.lit(b)) == 0, n) for b, n in ((4, "print"), (8, "modify"), (16, "extract"))]
-    return t(spark, d, "part").select("p_partkey", F.concat_ws(", ", *no).alias("denied"))
-
-
 def structured(spark: SparkSession, d: str) -> DataFrame:
     """A file for each customer: two sections, three form values, a note and an attachment."""
-    kind = "doc_id long, content binary"
 
-    def run(batches):
-        for b in batches:
-            files = [
-                structure_kernel.structured_file(name, [(segment, [name, str(nation)]), ("Späte Ω", [])], {"name": name, "segment": segment, "nation": str(nation)}, f"{name} & <{segment}>", {"note.txt": name.encode()})
-                for name, segment, nation in zip(b["c_name"], b["c_mktsegment"], b["c_nationkey"])
-            ]
-            yield pd.DataFrame({"doc_id": b["c_custkey"], "content": files})
+    def file(name, segment, nation):
+        return structure_kernel.structured_file(name, [(segment, [name, str(nation)]), ("Späte Ω", [])], {"name": name, "segment": segment, "nation": str(nation)}, f"{name} & <{segment}>", {"note.txt": name.encode()})
 
-    return t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").mapInPandas(run, kind)
+    return pdf.made(t(spark, d, "customer"), ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"], file)
 
 
 @query("""SELECT c_custkey AS doc_id, unnest([c_mktsegment, c_name, CAST(c_nationkey AS VARCHAR), 'Späte Ω']) AS title, unnest(['0', '0.0', '0.1', '1']) AS path,
@@ -407,36 +180,6 @@ def luma(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R.luma(F.col("l_discount"), F.col("l_tax"), F.lit(0.5)).alias("y"), r8.alias("r8"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.03 THEN l_discount * 10.0 WHEN l_discount < 0.07 THEN l_discount * l_discount ELSE 1.0 - l_discount END AS y FROM lineitem")
-def stitch_function(spark, d):
-    """Type 3: each subdomain has a function of its own; its upper bound belongs to the next."""
-    x = F.col("l_discount")
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(x < 0.03, x * 10.0).when(x < 0.07, x * x).otherwise(1.0 - x).alias("y"))
-
-
-@query("SELECT p_partkey, CASE WHEN det <> 0 THEN d / det END AS a, CASE WHEN det <> 0 THEN -b / det END AS b, CASE WHEN det <> 0 THEN (c * f - d * e) / det END AS e FROM (SELECT *, a * d - b * c AS det FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, 2.0::DOUBLE AS b, 8.0::DOUBLE AS c, 1.0::DOUBLE AS d, p_retailprice AS e, 5.0::DOUBLE AS f FROM part))")
-def matrix_inverse(spark, d):
-    """Null where the matrix has no inverse (a size of 16 here)."""
-    a, b, c, dd, e, f = F.col("p_size").cast("double"), F.lit(2.0), F.lit(8.0), F.lit(1.0), F.col("p_retailprice"), F.lit(5.0)
-    det = a * dd - b * c
-    ok = lambda v: F.when(det != 0, v / det)
-    return t(spark, d, "part").select("p_partkey", ok(dd).alias("a"), ok(-b).alias("b"), ok(c * f - dd * e).alias("e"))
-
-
-@query("SELECT 'r' || r_regionkey AS node, r_regionkey * 1000 AS place, r_name AS title, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey * 1000 + n_nationkey + 1, n_name, 1 FROM nation")
-def outline_preorder(spark, d):
-    tops = t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), (F.col("r_regionkey") * 1000).alias("place"), F.col("r_name").alias("title"), F.lit(0).alias("depth"))
-    kids = t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), (F.col("n_regionkey") * 1000 + F.col("n_nationkey") + 1).alias("place"), F.col("n_name").alias("title"), F.lit(1).alias("depth"))
-    return tops.unionByName(kids)
-
-
-@query("SELECT page_id, CASE WHEN page_id = 20 THEN 3 WHEN page_id >= 3 AND page_id < 20 THEN page_id + 1 ELSE page_id END AS place FROM pages")
-def reorder_pages(spark, d):
-    """The page at 20 moves to 3; those between make room."""
-    p = F.col("page_id")
-    return t(spark, d, "pages").select("page_id", F.when(p == 20, 3).when((p >= 3) & (p < 20), p + 1).otherwise(p).alias("place"))
-
-
 @query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM
 (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""")
 def events_session(spark, d):
@@ -452,13 +195,6 @@ def stream_dedupe(spark, d):
     return deduplicated(t(spark, d, "events").select("user_id", "event_type", F.date_trunc("hour", "ts").alias("hour"), "ts"), ["user_id", "event_type", "hour"]).drop("ts")
 
 
-@query("SELECT doc_id, i AS line, CAST(strlen(l) AS BIGINT) AS n_bytes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE contains(l, 'the')")
-def hit_lines(spark, d):
-    """Lines that hold a needle, with the bytes of each."""
-    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
-    return lines.where(F.contains("l", F.lit("the"))).select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.octet_length("l").cast("long").alias("n_bytes"))
-
-
 @query(f"SELECT doc_id, md5({CLEAN}) AS digest FROM documents WHERE {CLEAN} <> ''")
 def decrypt_roundtrip(spark, d):
     """Texts to encrypted files that open without a password, and out of these again."""

@@ -6,14 +6,22 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.cos import Name, Ref, Stream
 from ..functions.document import Document, operations, runs, text_file
+from ..functions.interp import Interpreter
+from ..functions.reading import object_counts as counts_of
+from ..functions.reading import page_text as text_of_page
+from ..functions.reading import structure_order
 from ..functions.structure import text_of
 
+BATCH_ROWS = 2000
+
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id: the path, content) of the *.pdf files under path."""
@@ -28,17 +36,51 @@ def stream_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), "content")
 
 
-def _table(pdfs: DataFrame, schema: str, rows) -> DataFrame:
-    kind = dict(pdfs.dtypes)["doc_id"]
-    names = ["doc_id", *[c.split()[0] for c in schema.split(", ")]]
+def mapped(rows: DataFrame, columns: list[str], schema: str, f) -> DataFrame:
+    """f(values of columns) yields tuples of schema; results travel as Arrow batches of many rows."""
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(zip(*held), arrow)], schema=arrow)
+
+        for b in batches:
+            for values in zip(*(b.column(i) for i in range(b.num_columns))):
+                held += f(*(v.as_py() for v in values))
+                if len(held) >= BATCH_ROWS:
+                    yield batch()
+                    held.clear()
+        if held:
+            yield batch()
+
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
+def table(pdfs: DataFrame, schema: str, rows) -> DataFrame:
+    """A table with doc_id and the columns of schema: rows(document) yields the tuples of each file."""
+
+    def of(doc_id, content):
+        return [(doc_id, *r) for r in rows(Document(content or b""))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
-                got = [(doc_id, *r) for r in rows(Document(bytes(content or b"")))]
-                yield pd.DataFrame(got, columns=names, dtype=object)
+    return mapped(pdfs, ["doc_id", "content"], f"doc_id {dict(pdfs.dtypes)['doc_id']}, {schema}", of)
 
-    return pdfs.select("doc_id", "content").mapInPandas(run, f"doc_id {kind}, {schema}")
+
+def made(rows: DataFrame, columns: list[str], f) -> DataFrame:
+    """(doc_id, content): a file from each row; the first column is its id, f gets the others."""
+    kind = dict(rows.dtypes)[columns[0]]
+    return mapped(rows, columns, f"doc_id {kind}, content binary", lambda i, *values: [(i, f(*values))])
+
+
+def changed(pdfs: DataFrame, f) -> DataFrame:
+    """(doc_id, content): f(document) gives the new bytes of each file, or several of them."""
+
+    def of(doc_id, content):
+        got = f(Document(content or b""))
+        return [(doc_id, x) for x in (got if isinstance(got, list) else [got])]
+
+    return mapped(pdfs, ["doc_id", "content"], f"doc_id {dict(pdfs.dtypes)['doc_id']}, content binary", of)
 
 
 def kind_of(v) -> str:
@@ -73,7 +115,7 @@ def files(pdfs: DataFrame) -> DataFrame:
             *[text_of(d.field(info, k)) for k in ("Title", "Author", "Subject", "Producer")], len(d.revisions),
         )
 
-    return _table(pdfs, "n_bytes long, version string, recovery string, notes array<string>, encrypted boolean, n_objects long, n_pages long, claimed_pages long, title string, author string, subject string, producer string, n_revisions long", rows)
+    return table(pdfs, "n_bytes long, version string, recovery string, notes array<string>, encrypted boolean, n_objects long, n_pages long, claimed_pages long, title string, author string, subject string, producer string, n_revisions long", rows)
 
 
 def objects(pdfs: DataFrame) -> DataFrame:
@@ -84,11 +126,12 @@ def objects(pdfs: DataFrame) -> DataFrame:
             v = d.get(n)
             yield n, kind_of(v), json.dumps(plain(v)), v.raw if isinstance(v, Stream) else None
 
-    return _table(pdfs, "num long, kind string, value string, raw binary", rows)
+    return table(pdfs, "num long, kind string, value string, raw binary", rows)
 
 
-def refs(pdfs: DataFrame) -> DataFrame:
-    """Edges (src, dst, path) between objects; src 0 is the trailer."""
+def refs(pdfs: DataFrame, with_objects: bool = False) -> DataFrame:
+    """Edges (src, dst, path) between objects; src 0 is the trailer. with_objects: also a row (num, null, null)
+    for each object that can be read, so that one pass over the files gives both."""
 
     def walk(v, path: str):
         if isinstance(v, Ref):
@@ -102,10 +145,12 @@ def refs(pdfs: DataFrame) -> DataFrame:
 
     def rows(d: Document):
         for n, v in [(0, d.trailer), *((n, d.get(n)) for n in sorted(d.entries))]:
+            if with_objects and n and v is not None:
+                yield n, None, None
             for dst, path in walk(v, ""):
                 yield n, dst, path
 
-    return _table(pdfs, "src long, dst long, path string", rows)
+    return table(pdfs, "src long, dst long, path string", rows)
 
 
 def pages(pdfs: DataFrame) -> DataFrame:
@@ -116,7 +161,7 @@ def pages(pdfs: DataFrame) -> DataFrame:
             annots = d.field(p, "Annots")
             yield i, p["#num"], media, crop, turn, *((h, w) if turn % 180 else (w, h)), len(annots) if isinstance(annots, list) else 0
 
-    return _table(pdfs, "page_index long, num long, media array<double>, crop array<double>, rotation long, width double, height double, n_annots long", rows)
+    return table(pdfs, "page_index long, num long, media array<double>, crop array<double>, rotation long, width double, height double, n_annots long", rows)
 
 
 def content_ops(pdfs: DataFrame) -> DataFrame:
@@ -125,7 +170,7 @@ def content_ops(pdfs: DataFrame) -> DataFrame:
             for seq, (op, args, a, b) in enumerate(operations(d.content(p))):
                 yield i, seq, op, json.dumps([plain(x) for x in args]), a, b
 
-    return _table(pdfs, "page_index long, seq long, op string, operands string, span_start long, span_end long", rows)
+    return table(pdfs, "page_index long, seq long, op string, operands string, span_start long, span_end long", rows)
 
 
 def text_runs(pdfs: DataFrame) -> DataFrame:
@@ -134,7 +179,7 @@ def text_runs(pdfs: DataFrame) -> DataFrame:
             for seq, r in enumerate(runs(d, p)):
                 yield i, seq, *r
 
-    return _table(pdfs, "page_index long, seq long, text string, sx double, sy double, ex double, ey double, size double", rows)
+    return table(pdfs, "page_index long, seq long, text string, sx double, sy double, ex double, ey double, size double", rows)
 
 
 def join_runs(text_runs: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -150,23 +195,52 @@ def join_runs(text_runs: DataFrame, keys: list[str], order: str) -> DataFrame:
     return got.select(*keys, F.array_join("parts.part", "").alias("text"))
 
 
-def page_text(pdfs: DataFrame) -> DataFrame:
-    return join_runs(text_runs(pdfs), ["doc_id", "page_index"], "seq")
+def page_text(pdfs: DataFrame, ordered: bool = False) -> DataFrame:
+    """(page_index, text) of pages with text, as drawn or in reading order."""
+
+    def rows(d: Document):
+        structure = structure_order(d) if ordered else None
+        for i, p in enumerate(d.pages()):
+            if text := text_of_page(d, p, ordered, structure):
+                yield i, text
+
+    return table(pdfs, "page_index long, text string", rows)
 
 
 def document_text(pdfs: DataFrame) -> DataFrame:
     """All pages' text by document, line breaks between pages."""
-    got = page_text(pdfs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_index", "text"))).alias("p"))
-    return got.select("doc_id", F.array_join("p.text", "\n").alias("text"))
 
+    def rows(d: Document):
+        found = [t for p in d.pages() if (t := text_of_page(d, p))]
+        return [("\n".join(found),)] if found else []
+
+    return table(pdfs, "text string", rows)
 
-def pdfs_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_page: int = 40, seal=None) -> DataFrame:
-    """(doc_id, content): each text as a PDF file, one line of text to a line."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                yield pd.DataFrame({"doc_id": [i], "content": [text_file((text or "").split("\n"), per_page, f"Document {i}", seal=seal)]})
+def marks(pdfs: DataFrame) -> DataFrame:
+    """What is drawn, in order: kind, box, bytes of the content, form, marked-content id, colours, text."""
+
+    def rows(d: Document):
+        for i, p in enumerate(d.pages()):
+            for seq, m in enumerate(Interpreter(d, p).marks):
+                yield i, seq, m.kind, list(m.box), m.start, m.end, m.form, m.mcid, m.artifact, m.fill and list(m.fill), m.stroke and list(m.stroke), m.text, m.name
+
+    return table(pdfs, "page_index long, seq long, kind string, box array<double>, span_start long, span_end long, form string, mcid long, artifact boolean, fill array<double>, stroke array<double>, text string, name string", rows)
 
+
+def object_counts(pdfs: DataFrame) -> DataFrame:
+    """(page_index, kind, n) of page objects."""
+
+    def rows(d: Document):
+        for i, p in enumerate(d.pages()):
+            for kind, n in counts_of(d, p).items():
+                yield i, kind, n
+
+    return table(pdfs, "page_index long, kind string, n long", rows)
+
+
+def pdfs_from_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_page: int = 40, seal=None) -> DataFrame:
+    """(doc_id, content): each text as a PDF file, one line of text to a line. Characters outside of
+    Windows-1252 become question marks."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)[id_col]}, content binary")
+    return mapped(rows, ["doc_id", "text"], f"doc_id {dict(docs.dtypes)[id_col]}, content binary", lambda i, text: [(i, text_file((text or "").split("\n"), per_page, f"Document {i}", seal=seal))])

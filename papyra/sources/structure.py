@@ -6,31 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import structure
-from .pdf import _table
+from .pdf import table
 
 
 def outlines(pdfs: DataFrame) -> DataFrame:
-    return _table(pdfs, "path array<long>, depth long, title string, page_index long", structure.outlines)
+    return table(pdfs, "path array<long>, depth long, title string, page_index long", structure.outlines)
 
 
 def attachments(pdfs: DataFrame) -> DataFrame:
-    return _table(pdfs, "key string, file_name string, description string, body binary", structure.attachments)
+    return table(pdfs, "key string, file_name string, description string, body binary", structure.attachments)
 
 
 def layers(pdfs: DataFrame) -> DataFrame:
-    return _table(pdfs, "num long, name string, visible boolean, locked boolean", structure.layers)
+    return table(pdfs, "num long, name string, visible boolean, locked boolean", structure.layers)
 
 
 def form_fields(pdfs: DataFrame) -> DataFrame:
-    return _table(pdfs, "name string, type string, flags long, value string, read_only boolean", structure.fields)
+    return table(pdfs, "name string, type string, flags long, value string, read_only boolean", structure.fields)
 
 
 def annotations(pdfs: DataFrame) -> DataFrame:
-    return _table(pdfs, "page_index long, place long, subtype string, rect array<double>, flags long, contents string, author string", structure.annotations)
+    return table(pdfs, "page_index long, place long, subtype string, rect array<double>, flags long, contents string, author string", structure.annotations)
+
+
+def label_ranges(pdfs: DataFrame) -> DataFrame:
+    return table(pdfs, "start long, style string, prefix string, first long", structure.label_ranges)
 
 
 def signed(pdfs: DataFrame) -> DataFrame:
-    return _table(pdfs, "signed boolean", lambda d: [(structure.signed(d),)])
+    return table(pdfs, "signed boolean", lambda d: [(structure.signed(d),)])
 
 
 def escaped(c: Column) -> Column:
