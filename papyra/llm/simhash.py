@@ -4,9 +4,9 @@ A fingerprint's 64 bits are cut into max_distance + 3 blocks. Two fingerprints w
 agree in at least three of these, so each distinct fingerprint is listed under every choice of three
 blocks, and only fingerprints with a common key are compared: with 20 keys of about 32 bits for
 distance 3, hardly any other pair meets. Rows with one key are compared as they stream by, sorted by
-key; a key's links come out as a spanning forest, never as all pairs. Keys are counted first (combined
-map-side); those with more than RUN_LIMIT fingerprints are dealt in chunks from the start, every pair of
-chunks to a bounded task of its own.
+key; a key's links come out as a spanning forest, never as all pairs. Keys with more than RUN_LIMIT
+fingerprints are found first (by a count over a part of them) and dealt in chunks from the start, every pair
+of chunks to a bounded task of its own.
 
 Equal fingerprints (copies above all) are one entry from the start, whatever their number. Nulls: a
 null text has no words and fingerprint zero, like an empty one. A row with a null id takes part through
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, drop, forest, join_by_key, save, small_batches, trimmed
 
 RUN_LIMIT = 200_000
+#: Rows of a key at the limit that the counted part holds, on average.
+SEEN = 200
 SMALL_RUN = 32
 CHUNK = 50_000
 
@@ -130,19 +132,20 @@ def links(entries: DataFrame, max_distance: int, run_limit: int = RUN_LIMIT) ->
     masks = F.array(*map(F.lit, block_masks(max_distance)))
     keys = F.transform(masks, lambda m, i: F.xxhash64(i, F.col("fp").bitwiseAND(m)))
     rows = entries.select(F.explode(keys).alias("key"), "fp", "rep")
-    met = save(rows.groupBy("key").agg(F.count("*").alias("met")).where("met > 1"), "simhash-keys")
-    plain = join_by_key(rows, met.where(F.col("met") <= run_limit), ["key"], "met").select("key", "fp", "rep")
-    hot = met.where(F.col("met") > run_limit)
+    # keys with over run_limit rows, found by counting the keys of a part of the fingerprints; the list holds at
+    # most a key for each run_limit rows. It only decides how rows are dealt: a key that it misses is linked too
+    part = min(1.0, SEEN / run_limit)
+    some = rows.where(F.pmod(F.xxhash64("fp", F.lit("part")), F.lit(1 << 20)) < int(part * (1 << 20)))
+    hot = save(some.groupBy("key").agg(F.count("*").alias("met")).where(F.col("met") > run_limit * part), "simhash-hot", False)
+    plain = rows
     if hot.limit(1).count():
         own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-        n = save(hot.withColumn("n", F.ceil(F.col("met") / (run_limit / 4)).cast("int")), "simhash-hot")
-        chunks = join_by_key(rows, n, ["key"], "met").select(F.explode(pairs).alias("key"), "fp", "rep")
-        plain = plain.unionByName(chunks)
+        n = F.broadcast(hot.select("key", F.ceil(F.col("met") / part / (run_limit / 4)).cast("int").alias("n")))
+        chunks = rows.join(n, "key").select(F.explode(pairs).alias("key"), "fp", "rep")
+        plain = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").select("key", "fp", "rep").unionByName(chunks)
     found = plain.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(max_distance), "a long, b long")
-    found = save(found, "simhash-links")
-    drop(met)
-    return found
+    return save(found, "simhash-links")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3,
