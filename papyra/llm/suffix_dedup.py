@@ -46,8 +46,9 @@ GRAM = 64
 WIDTH = SPAN - GRAM + 1  # gram positions in a window, and the number of its places around an anchor
 SEGMENT = 1 << 18
 BLOCK = 2048
-RUN_LIMIT = 16_000
+RUN_LIMIT = 6_000
 RANGES = 8
+EDGES = [WIDTH * i // RANGES for i in range(RANGES + 1)]
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
 
 
@@ -164,15 +165,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each context once for every range of window starts that it has windows in, under a hash of the
     bytes that all such windows share."""
-    edges = [WIDTH * i // RANGES for i in range(RANGES + 1)]
     for b in batches:
         rows = []
         for ah, ch, cv, left, packed in zip(*(c.to_pylist() for c in b.columns)):
             ctx = zlib.decompress(packed, -15)
-            for lo, hi in zip(edges, edges[1:]):
+            for part, (lo, hi) in enumerate(zip(EDGES, EDGES[1:])):
                 if lo <= left and len(ctx) - left >= SPAN - hi + 1:
-                    rows.append((digest(ctx[left - lo : left + SPAN - hi + 1], ah ^ lo)[0], ch, cv, left, packed))
-        yield columns(rows, CTX_NAMES, CTX_KINDS)
+                    rows.append((digest(ctx[left - lo : left + SPAN - hi + 1], ah ^ lo)[0], ch, cv, left, packed, part))
+        yield columns(rows, [*CTX_NAMES, "part"], [*CTX_KINDS, pa.int32()])
 
 
 class Suffixes:
@@ -301,11 +301,11 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a context as (ch, cv, d, digest)."""
+    """Every window of a context that begins in the part's range as (ch, cv, d, digest)."""
     for b in batches:
-        for _, ch, cv, left, ctx in zip(*(c.to_pylist() for c in b.columns)):
+        for ch, cv, left, ctx, part in zip(*(c.to_pylist() for c in b.columns)):
             ctx = zlib.decompress(ctx, -15)
-            ds = range(max(0, SPAN - (len(ctx) - left)), left + 1)
+            ds = range(max(EDGES[part], SPAN - (len(ctx) - left)), min(EDGES[part + 1], left + 1))
             yield columns([(ch, cv, d, *digest(ctx[left - d : left - d + SPAN], d)) for d in ds], ["ch", "cv", "d", "h1", "h2"], [pa.int64()] * 5)
 
 
@@ -326,14 +326,14 @@ def coverage(docs: DataFrame, run_limit: int = RUN_LIMIT) -> DataFrame:
     hot = k.where(F.col("k") > run_limit)
     if hot.limit(1).count():
         ctx = save(ctx, "context-bytes")
-        split = save(join_by_key(ctx, hot, ["ah"], "k").mapInArrow(_split, CTX), "context-parts")
+        split = save(join_by_key(ctx, hot, ["ah"], "k").mapInArrow(_split, CTX + ", part int"), "context-parts")
         size = save(split.groupBy("ah").agg(F.count("*").alias("k")), "context-parts-met")
-        w = join_by_key(split, size.where(F.col("k") > run_limit), ["ah"], "k").dropDuplicates(["ch", "cv"]).mapInArrow(_windows, "ch long, cv long, d long, h1 long, h2 long")
+        w = join_by_key(split, size.where(F.col("k") > run_limit), ["ah"], "k").select("ch", "cv", "left", "ctx", "part").mapInArrow(_windows, "ch long, cv long, d long, h1 long, h2 long")
         w = save(w.distinct(), "context-windows")
         twice = save(w.groupBy("d", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1"), "context-windows-met")
         counted = join_by_key(w, twice, ["d", "h1", "h2"], "k").groupBy("ch", "cv").agg(F.max("d").alias("lo"), (SPAN - F.min("d")).alias("hi"))
         some = compared(ctx.join(k.where(F.col("k") <= run_limit).select("ah"), "ah", "left_semi"))
-        part = compared(split.join(size.where(F.col("k") <= run_limit).select("ah"), "ah", "left_semi"))
+        part = compared(split.drop("part").join(size.where(F.col("k") <= run_limit).select("ah"), "ah", "left_semi"))
         once = some.unionByName(part).unionByName(counted).groupBy("ch", "cv").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     else:
         once = compared(ctx)
