@@ -1,16 +1,20 @@
 """Quality rules whose cutoffs carry a guarantee: exact binomial bounds on labelled holdouts.
 
 Rules look at per-document statistics (rates of symbols, of repeated lines and words, mean word length,
-share of one-letter words). Documents labelled good are halved by CRC-32 of their id. One half
-proposes cutoffs, as quantiles per stratum (length of the text). On the other half, each rule and
-stratum tests its proposals from lenient to strict and keeps the strictest one for which the exact
-binomial test rejects "more than alpha / rules of the good documents fall to this rule"; it stops at
-the first that does not (fixed sequence). The tests' level is delta over rules times strata
-(Bonferroni), so with probability 1 - delta at most alpha of good documents go, in every stratum.
-With too few labelled documents nothing can be certified and the rule stays silent.
+share of one-letter words). Documents labelled good, each text once (copies are no independent trials),
+are halved by a hash of their text. One half proposes cutoffs: for each stratum (length of the text) a
+ladder of steps from lenient to strict, each with a cutoff for every rule, its quantile at that step. The
+other half tests the steps in this order and keeps the last for which the exact binomial test rejects
+"more than alpha of the good documents fall to one of the rules"; it stops at the first that does not
+(fixed sequence). Strata share delta equally, and one whose ladder holds to its end passes its share on to
+the rest (Holm), so with probability 1 - delta at most alpha of good documents go, in every stratum. With
+too few labelled documents nothing can be certified (80 in the testing half are the least) and the rules
+stay silent for that stratum.
 
 Nulls: a null text has no words and fails the base rule; rows of labels with a null id or quality are
-not used; of repeated labels each counts. Rows are never merged, and extra columns are left behind.
+not used; of repeated labels all must say good. Rows are never merged, and extra columns are left behind. A
+value equal to a cutoff is not rejected. Very long texts are taken whole; empty tables give no rows, and
+labels without rows no cutoffs.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ RULES = (
     ("symbols", "symbol_rate", 1), ("dup_lines", "dup_line_rate", 1), ("repeats", "repeat_rate", 1),
     ("long_words", "mean_word", 1), ("short_words", "mean_word", -1), ("shouting", "upper_rate", 1),
 )
-LEVELS = (1.0, 0.9995, 0.999, 0.998, 0.997, 0.996, 0.995, 0.993, 0.99, 0.985)
+LEVELS = (1.0, 0.9995, 0.999, 0.998, 0.997, 0.996, 0.995)
 STRATA = (50, 400)  # words: short, middle, long
 ALPHA, DELTA = 0.05, 0.05
 
@@ -65,11 +69,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(
         F.col(id_col), length.alias("word_chars"), (F.length(bare) - F.length(F.translate(bare, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.length(bare) - F.length(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
-        line_counts.alias("lines"), word_counts.alias("words"),
+        line_counts.alias("lines"), word_counts.alias("words"), F.xxhash64(text).alias("text_hash"),
     )
     rows = rows.select(
         id_col, F.col("words.n").alias("n_words"), "word_chars", "n_symbols", (F.col("lines.n") - F.col("lines.u")).cast("long").alias("n_dup_lines"),
-        F.col("words.r").alias("n_repeat_words"), "n_upper", F.col("lines.n").alias("n_lines"),
+        F.col("words.r").alias("n_repeat_words"), "n_upper", F.col("lines.n").alias("n_lines"), "text_hash",
     )
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return rows.select(
@@ -95,38 +99,45 @@ def rejected(rule: tuple, cutoff: float) -> Column:
     return F.col(col) > cutoff if side > 0 else F.col(col) < cutoff
 
 
+def climbed(rejections: dict[int, list[int]], n: dict[int, int], alpha: float, delta: float) -> dict[int, int]:
+    """{stratum: steps certified}. rejections: good documents rejected at each step, n: all good ones. Each open
+    stratum has an equal share of delta; a ladder that holds to its end leaves its share to the others."""
+    open_ = set(rejections)
+    while True:
+        level = delta / max(1, len(open_))
+        got = {}
+        for s, counts in rejections.items():
+            got[s] = len(counts)
+            for i, k in enumerate(counts):
+                if s in open_ and (not n[s] or binomial_tail(k, n[s], alpha) > level):
+                    got[s] = i
+                    break
+        left = {s for s in open_ if got[s] < len(rejections[s])}
+        if left == open_ or not left:
+            return got
+        open_ = left
+
+
 def cutoffs(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> dict:
     """{(rule name, stratum): cutoff}. What comes to the driver is one row a stratum, whatever the input."""
-    good = labels.where("quality = 1").select(F.col(id_col))
-    good = feats.where("not base_failed").join(good, id_col).withColumn("half", F.crc32(F.col(id_col).cast("string")) % 2)
+    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
+    good = known.where("least = 1 and most = 1").select(id_col)
     cols = sorted({r[1] for r in RULES})
+    good = feats.where("not base_failed").join(good, id_col).groupBy("text_hash").agg(F.first("stratum").alias("stratum"), *[F.first(c).alias(c) for c in cols])
+    good = good.withColumn("half", F.pmod(F.xxhash64("text_hash"), F.lit(2)))
     quantiles = {
         r["stratum"]: r
         for r in good.where("half = 0").groupBy("stratum")
         .agg(*[F.percentile_approx(c, [p for x in LEVELS for p in (x, 1 - x)], 20_000).alias(c) for c in cols]).collect()
     }
-    grid = {}
-    for s, row in quantiles.items():
-        for rule in RULES:
-            at = [row[rule[1]][2 * i + (rule[2] < 0)] for i in range(len(LEVELS))]
-            grid[rule[0], s] = list(dict.fromkeys(at))
-    if not grid:
+    if not quantiles:
         return {}
-    aggs = [
-        F.sum(((F.col("stratum") == s) & rejected(next(r for r in RULES if r[0] == name), c)).cast("long")).alias(f"{name}:{s}:{i}")
-        for (name, s), cs in grid.items() for i, c in enumerate(cs)
-    ]
-    counts = {s: F.sum((F.col("stratum") == s).cast("long")).alias(f"n:{s}") for s in quantiles}
-    seen = good.where("half = 1").agg(*aggs, *counts.values()).first()
-    level = delta / (len(RULES) * (len(STRATA) + 1))
-    out = {}
-    for (name, s), cs in grid.items():
-        n = seen[f"n:{s}"] or 0
-        for i, c in enumerate(cs):
-            if not n or binomial_tail(seen[f"{name}:{s}:{i}"] or 0, n, alpha / len(RULES)) > level:
-                break
-            out[name, s] = c
-    return out
+    step = {s: [{r[0]: row[r[1]][2 * i + (r[2] < 0)] for r in RULES} for i in range(len(LEVELS))] for s, row in quantiles.items()}
+    fails = lambda cut: F.array_contains(F.array(*[rejected(r, cut[r[0]]) for r in RULES]), F.lit(True))
+    aggs = [F.count_if((F.col("stratum") == s) & fails(cut)).alias(f"{s}:{i}") for s, steps in step.items() for i, cut in enumerate(steps)]
+    seen = good.where("half = 1").agg(*aggs, *[F.count_if(F.col("stratum") == s).alias(f"n:{s}") for s in step]).first()
+    got = climbed({s: [seen[f"{s}:{i}"] for i in range(len(LEVELS))] for s in step}, {s: seen[f"n:{s}"] for s in step}, alpha, delta)
+    return {(name, s): cut for s, steps in step.items() if got[s] for name, cut in steps[got[s] - 1].items()}
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
