@@ -9,7 +9,8 @@ one, that one is queued again and applied next. Encoded pieces are kept in a cac
 
 Nulls: a null text is encoded as empty. Empty texts have no ids. Text equal to an added token (such as
 <|endoftext|>) becomes that token, as the tokenizers library does with special tokens left on. Rows are
-independent: repeated rows, null ids, ties and extra columns change nothing.
+independent: repeated rows, null ids, ties and extra columns change nothing. A very long text is a block by
+itself and is taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ breadth first by rarest shingles, so dense groups take few steps.
 
 Equal sets are one entry from the start. Nulls: a null text has no shingle, like an empty one, and these
 equal each other; a row with a null id takes part through rows with an equal set, and stays. Rows that
-share an id are one document. A text shorter than a shingle is one shingle. An empty table gives no rows.
+share an id are one document. A text shorter than a shingle is one shingle; very long ones are taken whole,
+their minima in chunks. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, save, trimmed
+from .common import connected_components, drop, save, small_batches, trimmed
 
 BANDS, ROWS = 40, 4
 SMALL_RUN = 32
@@ -225,6 +226,7 @@ def links(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str, shing
 
 def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """id_col: the least id of each component, as a table of its own; what it was made from is deleted."""
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     prints = save(docs.select(id_col, text_col).mapInArrow(_prints(shingle), f"id {kind}, sig long, n long, keys array<long>"), "jaccard")
     entries = save(prints.where("id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "jaccard-entries")
