@@ -195,7 +195,7 @@ class Interpreter:
         self.resources, self.depth, self.form = resources, depth, form
         floor, marked = len(self.stack), len(self.content)
         for op, args, start, end in operations(content):
-            self.span = start, end
+            self.span, self.op = (start, end), op
             handler = HANDLERS.get(op)
             if handler:
                 need = ARITY.get(op, -1)
@@ -282,6 +282,9 @@ class Interpreter:
     def clip(self, _) -> None:
         self.pending = True
 
+    def close(self, _) -> None:
+        """Bounds don't change; painters override this."""
+
     # text
 
     def font_of(self, v) -> Font:
@@ -419,7 +422,7 @@ HANDLERS: dict[str, Callable] = {
     "RG": lambda self, a: self.colour("stroke", a, "DeviceRGB"), "rg": lambda self, a: self.colour("fill", a, "DeviceRGB"),
     "K": lambda self, a: self.colour("stroke", a, "DeviceCMYK"), "k": lambda self, a: self.colour("fill", a, "DeviceCMYK"),
     "m": lambda self, a: self.add(tuple(a)), "l": lambda self, a: self.add(tuple(a)), "c": _curve(False, False), "v": _curve(True, False), "y": _curve(False, True),
-    "re": Interpreter.rectangle, **{op: _painter(True) for op in ("S", "s", "B", "B*", "b", "b*")}, **{op: _painter(False) for op in ("f", "F", "f*")},
+    "h": lambda self, a: self.close(a), "re": lambda self, a: self.rectangle(a), **{op: _painter(True) for op in ("S", "s", "B", "B*", "b", "b*")}, **{op: _painter(False) for op in ("f", "F", "f*")},
     "n": lambda self, a: self.paint(False, False), "W": Interpreter.clip, "W*": Interpreter.clip,
     "BT": Interpreter.begin_text, "Tc": _set("tc"), "Tw": _set("tw"), "Tz": _set("tz"), "TL": _set("tl"), "Ts": _set("rise"), "Tr": _set("render", int),
     "Tf": Interpreter.set_font, "Td": Interpreter.move, "TD": lambda self, a: self.move(a, True), "Tm": Interpreter.matrix, "T*": Interpreter.next_line,
