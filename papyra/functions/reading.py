@@ -11,7 +11,8 @@ DEPTH = 64
 
 def structure_order(doc: Document) -> dict[int, list[int]]:
     """Page object number to its marked-content ids in the order of the structure tree; cycles are cut."""
-    root = doc.field(doc.get(doc.trailer.get("Root")), "StructTreeRoot")
+    top = doc.get(doc.trailer.get("Root"))
+    root = top.get("StructTreeRoot") if isinstance(top, dict) else None
     out: dict[int, list[int]] = {}
     seen: set[int] = set()
 
