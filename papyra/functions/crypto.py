@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import unicodedata
 
 import numpy as np
 
@@ -13,6 +14,12 @@ from .cos import Name, Ref, Stream
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 
 
+def prepared(password: str) -> str:
+    """A password for revisions 5 and 6: other spaces become spaces, what is invisible goes, then NFKC."""
+    kept = "".join(" " if unicodedata.category(c) == "Zs" else c for c in password if c not in "\u00ad\u1806\u200b\u2060\ufeff" and not "\ufe00" <= c <= "\ufe0f")
+    return unicodedata.normalize("NFKC", kept)
+
+
 def rc4(key: bytes, data: bytes) -> bytes:
     s, j = list(range(256)), 0
     for i in range(256):

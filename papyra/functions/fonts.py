@@ -166,6 +166,7 @@ class Font:
 
     def __init__(self, doc, d):
         d = d if isinstance(d, dict) else {}
+        self.doc, self.dict = doc, d
         self.name = str(doc.field(d, "BaseFont") or "")
         self.kind = str(d.get("Subtype") or "")
         self.wide = self.kind == "Type0"

@@ -426,7 +426,7 @@ HANDLERS: dict[str, Callable] = {
     "n": lambda self, a: self.paint(False, False), "W": Interpreter.clip, "W*": Interpreter.clip,
     "BT": Interpreter.begin_text, "Tc": _set("tc"), "Tw": _set("tw"), "Tz": _set("tz"), "TL": _set("tl"), "Ts": _set("rise"), "Tr": _set("render", int),
     "Tf": Interpreter.set_font, "Td": Interpreter.move, "TD": lambda self, a: self.move(a, True), "Tm": Interpreter.matrix, "T*": Interpreter.next_line,
-    "Tj": Interpreter.show, "TJ": lambda self, a: self.show(a[0] if isinstance(a[0], list) else a), '"': Interpreter.quoted,
+    "Tj": lambda self, a: self.show(a), "TJ": lambda self, a: self.show(a[0] if isinstance(a[0], list) else a), '"': Interpreter.quoted,
     "'": lambda self, a: (self.next_line(), self.show(a)), "Do": Interpreter.draw,
     "BI": lambda self, a: self.mark("inline", box_under(self.state.ctm, 0, 0, 1, 1)), "sh": lambda self, a: self.mark("shading", self.state.clip, name=str(a[0])),
     "BMC": lambda self, a: self.marked(a, False), "BDC": lambda self, a: self.marked(a, True), "EMC": Interpreter.unmarked,

@@ -1,5 +1,5 @@
 """Pixels from geometry: curves, strokes, dashes, coverage, shadings, blending, and pages drawn from these.
-Glyph shapes are not drawn: text appears as boxes of its runs where asked for."""
+Glyphs are drawn from embedded TrueType programs; other text appears as boxes of its runs where asked for."""
 
 from __future__ import annotations
 
@@ -212,7 +212,7 @@ class Painter(Interpreter):
             raise ValueError("the picture would be too large")
         self.canvas = np.ones((self.h, self.w, 4))
         self.lines: list[list[Point]] = []
-        self.boxes_for_text = boxes_for_text
+        self.boxes_for_text, self.programs = boxes_for_text, {}
         super().__init__(doc, page)
 
     def add(self, *points) -> None:
@@ -244,6 +244,36 @@ class Painter(Interpreter):
         self.lines = []
         super().paint(stroke, shown)
 
+    def program(self, font):
+        """The font's TrueType program and its codes' glyphs; None where it has none."""
+        from .truetype import TrueType, cid_to_gid
+
+        if id(font) not in self.programs:
+            kids = self.doc.field(font.dict, "DescendantFonts")
+            d = self.doc.get(kids[0]) if font.wide and isinstance(kids, list) and kids else font.dict
+            file = self.doc.field(self.doc.field(d, "FontDescriptor"), "FontFile2")
+            found = TrueType(self.doc.decoded(file)[0]) if isinstance(file, Stream) else None
+            glyph = cid_to_gid(self.doc, d) if font.wide else (lambda code: found.map.get(ord(font.text(code)[:1] or "\0"), 0))
+            self.programs[id(font)] = found and (found, glyph)
+        return self.programs[id(font)]
+
+    def show(self, parts: list) -> None:
+        s, font = self.state, self.state.font or self.fallback
+        known = self.program(font)
+        if known and s.render in (0, 2, 4, 6):
+            x, th = 0.0, s.tz / 100
+            m = times(times(self.tm, s.ctm), self.view)
+            polygons = []
+            for p in parts:
+                if isinstance(p, bytes):
+                    for code in font.codes(p):
+                        polygons += [[apply(m, x + px * th, s.rise + py) for px, py in poly] for poly in known[0].polygons(known[1](code), s.size)]
+                        x += (font.width(code) / 1000 * s.size + s.tc + (s.tw if code == 32 and not font.wide else 0)) * th
+                elif isinstance(p, (int, float)):
+                    x -= p / 1000 * s.size * th
+            self.lay(polygons, s.colours["fill"], s.alpha["fill"], False)
+        super().show(parts)
+
     def clip_mask(self) -> np.ndarray:
         x0, y0, x1, y1 = self.state.clip
         corners = [apply(self.view, x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]

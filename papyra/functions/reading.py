@@ -169,3 +169,32 @@ def object_counts(doc: Document, page: dict) -> dict[str, int]:
 def hit(marks: list[Mark], x: float, y: float) -> int | None:
     """The topmost mark whose box holds a point: the last drawn."""
     return next((i for i in reversed(range(len(marks))) if marks[i].box[0] <= x <= marks[i].box[2] and marks[i].box[1] <= y <= marks[i].box[3]), None)
+
+
+def located(texts: list[str], hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(object, start in it, end in it) of hits in texts laid end to end, by the object a hit begins in."""
+    from bisect import bisect_right
+
+    starts = [0]
+    for t in texts:
+        starts.append(starts[-1] + len(t.encode("utf-8", "replace")))
+    out = []
+    for a, b in hits:
+        i = min(bisect_right(starts, a) - 1, len(texts) - 1)
+        out.append((i, a - starts[i], b - starts[i]))
+    return out
+
+
+def resource_counts(doc: Document, page: dict) -> dict[str, int]:
+    """Entries of a page's resources by kind; XObjects by subtype."""
+    resources, out = doc.field(page, "Resources"), {}
+    for kind, table in (resources if isinstance(resources, dict) else {}).items():
+        table = doc.get(table) if isinstance(table, Ref) else table
+        if kind == "XObject" and isinstance(table, dict):
+            for v in table.values():
+                v = doc.get(v) if isinstance(v, Ref) else v
+                sub = str(v.dict.get("Subtype")) if hasattr(v, "dict") else "missing"
+                out[sub] = out.get(sub, 0) + 1
+        elif isinstance(table, dict):
+            out[kind] = len(table)
+    return out

@@ -168,6 +168,10 @@ def label_ranges(doc: Document) -> Iterator[tuple[int, str | None, str | None, i
     yield from walk(doc.field(catalog(doc), "PageLabels"), 0)
 
 
+def has_xfa(doc: Document) -> bool:
+    return doc.field(doc.field(catalog(doc), "AcroForm"), "XFA") is not None
+
+
 def signed(doc: Document) -> bool:
     """A signature field with a value, or a dictionary with ByteRange and Contents, anywhere."""
 

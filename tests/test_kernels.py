@@ -152,6 +152,12 @@ def test_protection():
     assert protect.permissions(-1)["print"] and protect.denied(-1) == "" and "print" in protect.denied(-3904)
 
 
+def test_passwords():
+    from papyra.functions.crypto import prepared
+
+    assert prepared("a\u00a0b\u00adc\u2168") == "a bcIX"
+
+
 def test_pixels():
     d = Document(samples.page_file(b"1 0 0 rg 10 10 20 20 re f 0 0 1 RG 4 w 50 50 m 100 50 l S 0 g 10.5 60 1 10 re f", page={"MediaBox": [0, 0, 120, 100]}))
     px = raster.render(d, d.pages()[0])
@@ -255,3 +261,28 @@ def test_command_line(tmp_path, capsys):
     assert main(["split", str(both), "--every", "3", "-o", str(both)]) == 0 and (tmp_path / "both-1.pdf").exists()
     assert main(["render", str(one), "-o", str(picture), "--scale", "0.5"]) == 0 and images.read_png(picture.read_bytes()).shape == (396, 306, 4)
     assert main(["pages", str(one)]) == 0 and main(["rotate", str(one), "-o", str(both)]) == 0
+
+
+def test_font_programs():
+    from papyra.functions.truetype import TrueType, boxes_font, cid_to_gid, embedded, subset
+
+    f = TrueType(boxes_font({"A": 600, "B": 400, "é": 300}))
+    assert f.map == {65: 1, 66: 2, 233: 3} and [f.width(g) for g in (1, 2, 3)] == [600, 400, 300]
+    assert f.outline(1) == [[(0, 0, True), (600, 0, True), (600, 700, True), (0, 700, True)]] and f.outline(3)[0][0] == (50, 10, True)
+    small = TrueType(subset(f, "é"))
+    assert small.outline(2) == [] and small.outline(3) == f.outline(3) and small.outline(1) == f.outline(1)  # what it is composed of stays
+    assert raster.coverage(f.polygons(1, 10), 8, 8).sum() == pytest.approx(6 * 7)
+    over = organize.Overlay(Document(text_file(["x"])))
+    ref = embedded(f, "AB", "Box", over.add)
+    leaf = over.doc.pages()[0]
+    own = dict(over.get(leaf["#num"]))
+    own |= {"Resources": {"Font": {"F9": ref}}, "Contents": over.add(Stream({}, b"BT /F9 10 Tf 5 5 Td <00010002> Tj ET"))}
+    over.set(leaf["#num"], own)
+    d = Document(over.save_full())
+    m = Interpreter(d, d.pages()[0]).marks[0]
+    px = raster.render(d, d.pages()[0])
+    assert px[792 - 6, 8, 0] == 0 and px[792 - 20, 8, 0] == 255  # the box of A, and nothing above it
+    assert reading.resource_counts(d, d.pages()[0]) == {"Font": 1} and reading.located(["ab", "cdé"], [(1, 2), (3, 4)]) == [(0, 1, 2), (1, 1, 2)]
+    assert m.text == "AB" and m.line[2] - m.line[0] == pytest.approx(10)
+    assert cid_to_gid(EMPTY, {})(5) == 5 and cid_to_gid(EMPTY, {"CIDToGIDMap": Stream({}, b"\0\7\0\2")})(1) == 2
+    assert TrueType(b"junk").map == {} and TrueType(b"").outline(3) == []
