@@ -25,6 +25,7 @@ class Document:
         self.data, self.notes, self.entries, self.trailer = data, [], {}, {}
         self.cache: dict[int, object] = {}
         self.packed: dict[int, dict[int, object]] = {}
+        self.fonts_by_object: dict[int, object] = {}
         self.revisions: list[dict[int, tuple]] = []
         m = re.search(rb"%PDF-(\d\.\d)", data[:1024])
         self.version = m[1].decode() if m else None

@@ -108,6 +108,7 @@ def base_encoding(name: str) -> tuple[str, ...]:
     return tuple(ascii_)
 
 
+@lru_cache(1024)
 def split_name(name: str) -> tuple[str, list[str]] | None:
     """(family, style words) of a font's name, None for styles that are not known."""
     name = re.sub(r"^[A-Z]{6}\+", "", name)
@@ -132,6 +133,11 @@ def standard_width(font: str, text: str) -> int | None:
     return table[ord(plain) - 32] if table and not {"bold", "italic"} & set(found[1]) and " " <= plain <= "~" else None
 
 
+@lru_cache(256)
+def standard_widths(font: str, table: tuple[str, ...]) -> tuple[float | None, ...]:
+    return tuple(standard_width(font, s) for s in table)
+
+
 def to_unicode(cmap: bytes) -> dict[int, str]:
     """Code to text of a ToUnicode map."""
     out: dict[int, str] = {}
@@ -210,12 +216,14 @@ class Font:
         first = first if isinstance(first, int) else 0
         missing = doc.field(doc.field(d, "FontDescriptor"), "MissingWidth")
         missing = float(missing) if isinstance(missing, (int, float)) else None
+        if listed is None and missing is None:
+            return [500.0 if w is None else float(w) for w in standard_widths(self.name, tuple(self.table))]
         out = []
         for code in range(256):
             w = listed[code - first] if isinstance(listed, list) and 0 <= code - first < len(listed) else None
             w = doc.get(w) if isinstance(w, Ref) else w
             if not isinstance(w, (int, float)):
-                w = missing if missing is not None else standard_width(self.name, self.table[code]) if listed is None else None
+                w = missing
             out.append(500.0 if w is None else float(w))
         return out
 

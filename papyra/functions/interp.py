@@ -180,7 +180,7 @@ class Interpreter:
         self.unknown: list[str] = []
         self.names: list[str] = []  # XObjects, in the order in which they are drawn
         self.content: list[tuple[str, int | None]] = []
-        self.fonts: dict[int, Font] = {}
+        self.fonts: dict[int, Font] = doc.fonts_by_object
         self.fallback = Font(doc, {})
         self.state, self.stack = State(), []
         self.path: list[tuple[float, float]] = []
@@ -288,7 +288,7 @@ class Interpreter:
     # text
 
     def font_of(self, v) -> Font:
-        key = v.num if isinstance(v, Ref) else id(v)
+        key = v.num if isinstance(v, Ref) else -id(v)
         if key not in self.fonts:
             self.fonts[key] = Font(self.doc, self.doc.get(v) if isinstance(v, Ref) else v)
         return self.fonts[key]
