@@ -20,6 +20,8 @@ LOCAL_SHARED = "file:///tmp/checkpoints/papyra"
 BATCH_BYTES = 4 << 20
 #: A key with more than one in HEAVY of all rows is joined by itself; so there are at most HEAVY of these.
 HEAVY = 500
+#: Ids that are broadcast to choose rows by (8 bytes each, about 32 in a task's table).
+BROADCAST_IDS = 500_000
 #: Links between documents that one task finishes; see connected_components().
 ONE_TASK = 20_000
 #: ASCII white space: the complement of [^\x20\x09-\x0D].
@@ -126,6 +128,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
 
 
+def keep_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is in ids (a saved table, one row an id). Up to BROADCAST_IDS ids, counted first, are
+    broadcast, so that wide rows stay where they are; more are joined by a shuffle."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, id_col, "left_semi")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(a, b) links between long ids to (node, root): every node but the smallest of its component,
     with that smallest id. Alternating large-star and small-star steps: each is a minimum by node

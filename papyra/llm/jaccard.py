@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, save, small_batches, trimmed
+from .common import connected_components, drop, keep_ids, save, small_batches, trimmed
 
 BANDS, ROWS = 40, 4
 SMALL_RUN = 32
@@ -216,19 +216,23 @@ def links(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str, shing
         pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("grp", F.least(own, j), F.greatest(own, j)))
         chunks = groups.join(parts, "grp").select(F.explode(pairs).alias("grp"), "sig", "rep")
         groups = groups.join(parts, "grp", "left_anti").select("grp", "sig", "rep").union(chunks)
-    needed = groups.select(F.col("rep").alias(id_col)).distinct()
-    sets = docs.select(id_col, text_col).join(needed, id_col, "left_semi").mapInArrow(_sets(shingle), "rep long, sig long, hashes binary")
+    needed = save(groups.select(F.col("rep").alias(id_col)).distinct(), "jaccard-needed", False)
+    sets = keep_ids(docs.select(id_col, text_col), needed, id_col).mapInArrow(_sets(shingle), "rep long, sig long, hashes binary")
     rows = groups.join(sets, ["rep", "sig"]).select("grp", "sig", "rep", "hashes")
     found = save(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_verified, "a long, b long").distinct(), "jaccard-links")
     drop(saved)
     return found
 
 
-def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """id_col: the least id of each component, as a table of its own; what it was made from is deleted."""
+def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, among: DataFrame | None = None) -> DataFrame:
+    """id_col: the least id of each component, as a table of its own; what it was made from is deleted.
+    among: the ids (id_col) that take part, where not all do."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     prints = save(docs.select(id_col, text_col).mapInArrow(_prints(shingle), f"id {kind}, sig long, n long, keys array<long>"), "jaccard")
+    if among is not None:
+        all_, prints = prints, save(keep_ids(prints, among.withColumnRenamed(id_col, "id"), "id"), "jaccard-among")
+        drop(all_)
     entries = save(prints.where("id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "jaccard-entries")
     found = links(docs, entries, id_col, text_col, shingle)
     roots = connected_components(found)
@@ -242,4 +246,4 @@ def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of docs that stay when the document of least id of each component does."""
     kept = kept_ids(docs, id_col, text_col, shingle)
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    return keep_ids(docs, kept, id_col).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

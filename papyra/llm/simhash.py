@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, forest, join_by_key, save, small_batches, trimmed
+from .common import connected_components, drop, forest, join_by_key, keep_ids, save, small_batches, trimmed
 
 RUN_LIMIT = 200_000
 #: Rows of a key at the limit that the counted part holds, on average.
@@ -164,9 +164,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def kept_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 6) -> DataFrame:
+    """id_col: the ids that stay when one document of each component does, as a table of its own. Distance 6
+    of 64 stands for a similarity of shingle sets well above 0.8 (cosine about 0.96)."""
+    return save(components(docs, id_col, text_col, shingle, max_distance).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "simhash-kept")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 6) -> DataFrame:
-    """The rows of docs that stay when one document of each component does. Rows that share an id are
-    one document; rows without one stay. Distance 6 of 64 stands for a similarity of shingle sets well
-    above 0.8 (cosine about 0.96)."""
-    kept = components(docs, id_col, text_col, shingle, max_distance).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    """The rows of docs with such an id. Rows that share an id are one document; rows without one stay."""
+    kept = kept_ids(docs, id_col, text_col, shingle, max_distance)
+    return keep_ids(docs, kept, id_col).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
