@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import bpe, jaccard, langid, mixing, simhash, suffix_dedup
-from papyra.llm.common import drop, join_by_key, save
+from papyra.llm.common import drop, join_by_key, keep_ids, save
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -46,10 +46,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows that share an id are one document, and rows without an id stay."""
     own, at = numbered(docs)
     name, text = at["doc_id"], at["text"]
-    first = save(simhash.keep_one(own, name, text).select(name, text), "simhash-kept")
-    kept = jaccard.kept_ids(first, name, text)
+    first = simhash.kept_ids(own, name, text)
+    kept = jaccard.kept_ids(own, name, text, among=first)
     drop(first)
-    return renamed(own.join(kept, name, "left_semi").unionByName(own.where(F.col(name).isNull())), docs)
+    return renamed(keep_ids(own, kept, name).unionByName(own.where(F.col(name).isNull())), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
