@@ -18,9 +18,11 @@ from ..functions.interp import Interpreter
 from ..functions.reading import object_counts as counts_of
 from ..functions.reading import page_text as text_of_page
 from ..functions.reading import structure_order
-from ..functions.structure import text_of
+from ..functions.layout import banner
+from ..functions.structure import has_xfa, text_of
 
 BATCH_ROWS = 2000
+INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate", "Trapped")
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
@@ -112,10 +114,11 @@ def files(pdfs: DataFrame) -> DataFrame:
         claimed = d.field(d.field(root, "Pages"), "Count")
         yield (
             len(d.data), d.version, d.recovery, d.notes, "Encrypt" in d.trailer, len(d.entries), len(d.pages()), claimed if isinstance(claimed, int) else None,
-            *[text_of(d.field(info, k)) for k in ("Title", "Author", "Subject", "Producer")], len(d.revisions),
+            *[text_of(d.field(info, k)) for k in INFO], len(d.revisions), text_of(d.field(root, "Lang")), bool(banner(d)), has_xfa(d),
+            d.decoded(xmp)[0].decode("utf-8", "replace") if isinstance(xmp := d.field(root, "Metadata"), Stream) else None,
         )
 
-    return table(pdfs, "n_bytes long, version string, recovery string, notes array<string>, encrypted boolean, n_objects long, n_pages long, claimed_pages long, title string, author string, subject string, producer string, n_revisions long", rows)
+    return table(pdfs, "n_bytes long, version string, recovery string, notes array<string>, encrypted boolean, n_objects long, n_pages long, claimed_pages long, " + ", ".join(f"{k.lower()} string" for k in INFO) + ", n_revisions long, lang string, damaged boolean, xfa boolean, xmp string", rows)
 
 
 def objects(pdfs: DataFrame) -> DataFrame:

@@ -286,3 +286,17 @@ def test_font_programs():
     assert m.text == "AB" and m.line[2] - m.line[0] == pytest.approx(10)
     assert cid_to_gid(EMPTY, {})(5) == 5 and cid_to_gid(EMPTY, {"CIDToGIDMap": Stream({}, b"\0\7\0\2")})(1) == 2
     assert TrueType(b"junk").map == {} and TrueType(b"").outline(3) == []
+
+
+def test_file_facts(spark):
+    from papyra.sources import pdf
+
+    over = organize.Overlay(Document(text_file(["x"], title="T")))
+    over.set(4, {"Title": b"T", "Creator": b"\xfe\xff\x00C", "ModDate": b"D:2020"})
+    xmp = over.add(Stream({}, b"<x/>"))
+    over.set(1, dict(over.get(1)) | {"Lang": b"de", "Metadata": xmp})
+    r = pdf.files(spark.createDataFrame([(1, over.save_incremental()), (2, b"x")], "doc_id long, content binary")).orderBy("doc_id").collect()
+    assert (r[0].title, r[0].creator, r[0].moddate, r[0].lang, r[0].xmp, r[0].n_revisions, r[0].damaged, r[0].xfa) == ("T", "C", "D:2020", "de", "<x/>", 2, False, False)
+    assert r[1].recovery == "Failed" and r[1].damaged and r[1].title is None
+    marks = pdf.marks(spark.createDataFrame([(1, samples.drawing("a", "b", 2))], "doc_id long, content binary")).collect()
+    assert [m.kind for m in marks] == ["path", "path", "text", "form", "text"] and marks[0].fill == [1, 0, 0]
