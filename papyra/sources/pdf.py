@@ -21,7 +21,10 @@ from ..functions.reading import structure_order
 from ..functions.layout import banner
 from ..functions.structure import has_xfa, text_of
 
-BATCH_ROWS = 2000
+#: Rows of a batch that is given, and rows whose values are Python's at one time.
+BATCH_ROWS, SLICE_ROWS = 2000, 64
+#: Tasks for each core where few bytes stand for much work.
+TASKS_A_CORE = 4
 INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate", "Trapped")
 
 
@@ -49,17 +52,25 @@ def mapped(rows: DataFrame, columns: list[str], schema: str, f) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(zip(*held), arrow)], schema=arrow)
 
         for b in batches:
-            for values in zip(*(b.column(i) for i in range(b.num_columns))):
-                held += f(*(v.as_py() for v in values))
-                if len(held) >= BATCH_ROWS:
-                    yield batch()
-                    held.clear()
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                for values in zip(*(c.to_pylist() for c in b.slice(at, SLICE_ROWS).columns)):
+                    held += f(*values)
+                    if len(held) >= BATCH_ROWS:
+                        yield batch()
+                        held.clear()
         if held:
             yield batch()
 
     return rows.select(*columns).mapInArrow(run, schema)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over all cores. Parquet splits by bytes and row groups: a million short rows, each of
+    which becomes a file, would be one or two tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+
+
 def table(pdfs: DataFrame, schema: str, rows) -> DataFrame:
     """A table with doc_id and the columns of schema: rows(document) yields the tuples of each file."""
 
@@ -72,7 +83,7 @@ def table(pdfs: DataFrame, schema: str, rows) -> DataFrame:
 def made(rows: DataFrame, columns: list[str], f) -> DataFrame:
     """(doc_id, content): a file from each row; the first column is its id, f gets the others."""
     kind = dict(rows.dtypes)[columns[0]]
-    return mapped(rows, columns, f"doc_id {kind}, content binary", lambda i, *values: [(i, f(*values))])
+    return mapped(spread(rows.select(*columns)), columns, f"doc_id {kind}, content binary", lambda i, *values: [(i, f(*values))])
 
 
 def changed(pdfs: DataFrame, f) -> DataFrame:

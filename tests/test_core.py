@@ -134,3 +134,52 @@ def test_strong_passwords():
         o = c._strong_hash(b"o", salts[2], u, r) + salts[2] + salts[3]
         d = {"V": 5, "R": r, "U": u, "O": o, "UE": c.cbc_encrypt(c._strong_hash(b"u", salts[1], b"", r), bytes(16), key), "OE": c.cbc_encrypt(c._strong_hash(b"o", salts[3], u, r), bytes(16), key)}
         assert [c.Handler(d, b"", p).key for p in (b"u", b"o", b"x")] == [key, key, None]
+
+
+@pytest.fixture(scope="module")
+def one_group(tmp_path_factory):
+    """Parts and customers in one row group each, as a small Parquet file of many rows has them."""
+    import pyarrow.parquet as pq
+
+    d = str(tmp_path_factory.mktemp("one"))
+    for name in ("part", "customer"):
+        pq.write_table(pq.read_table(f"{SF}/{name}.parquet"), f"{d}/{name}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["q_object_counts", "q_objects_by_form", "q_painted_paths", "q_pdf_signed", "q_reply_chain", "q_run_widths", "q_fill_maxlen", "q_xfdf_roundtrip", "q_flatten", "q_form_recalculate"])
+def test_files_are_made_on_all_cores(spark, one_group, name):
+    from pyspark.sql import functions as F
+
+    got = CATALOG[name][0](spark, one_group)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2, "files are made and read once"
+    if name != "q_reply_chain":  # its rows are shuffled again, and few
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_replies_in_one_pass(spark):
+    from papyra.operators import relational as R
+
+    notes = spark.createDataFrame([(1, 10, None, "Text", "a"), (1, 11, 10, "Popup", "b"), (1, 12, 10, "Text", "c"), (1, 13, 99, "Text", "d"), (2, 11, 10, "Text", "e"), (None, 1, 1, "Text", "f")], "doc_id long, num long, parent long, subtype string, more string")
+    got = R.replies(notes, ["doc_id"])
+    assert got.columns == ["doc_id", "parent", "num", "subtype", "more", "parent_subtype"]
+    assert sorted(map(tuple, got.collect())) == [(1, 10, 11, "Popup", "b", "Text"), (1, 10, 12, "Text", "c", "Text")]
+
+
+def test_reader_of_tables_and_tokens():
+    """Tables that are read by entries: odd spacing, a reference where a heading should be, several in a section."""
+    base = text_file(["x"])
+    assert Document(base).recovery == "Clean" and Document(base.replace(b" 00000 n \n", b" 00000 n\r\n")).recovery == "Clean"
+    assert Document(base.replace(b"\n1 1\n", b"\n1 0 R\n")).recovery == "Rebuilt"
+    odd = b"%c\n-1.5 +-3 9223372036854775807 999999999999999999 5 0 R 5 0 Rx /A#42 /B)>] {true"
+    got, r = [], cos.Reader(odd)
+    try:
+        while True:
+            got.append(r.value())
+    except EOFError:
+        pass
+    assert got == [-1.5, 3, 2.0**63, 999999999999999999, cos.Ref(5, 0), 5, 0, "Rx", "AB", "B", "]", "{", True]
+    d = Document(base)
+    d.pages()[0]["changed"] = 1
+    assert "changed" not in d.pages()[0]
