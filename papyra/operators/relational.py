@@ -260,6 +260,13 @@ def overlaid(base: DataFrame, changes: DataFrame, key: str, value: str) -> DataF
 
 
 def replies(annotations: DataFrame, keys: list[str]) -> DataFrame:
-    """annotations (keys, num, parent): each reply or popup with the annotation that it belongs to."""
-    own = annotations.select(*keys, F.col("num").alias("parent"), F.col("subtype").alias("parent_subtype"))
-    return annotations.join(own, [*keys, "parent"])
+    """annotations (keys, num, parent): each reply or popup with the annotation that it belongs to. One pass over
+    the annotations: each comes under its own number and, as a reply, under its parent's."""
+    reply = F.struct(*[c for c in annotations.columns if c not in (*keys, "parent")])
+    own = F.struct(F.col("subtype").alias("parent_subtype"))
+    none = lambda c: F.when(F.lit(False), c)
+    ends = F.array(F.struct(F.col("num").alias("parent"), own.alias("own"), none(reply).alias("reply")), F.struct("parent", none(own).alias("own"), reply.alias("reply")))
+    both = annotations.dropna(subset=keys).select(*keys, F.inline(ends)).where("parent is not null")
+    met = both.groupBy(*keys, "parent").agg(F.collect_list("own").alias("owns"), F.collect_list("reply").alias("replies"))
+    rows = met.select(*keys, "parent", "owns", F.inline("replies"))
+    return rows.select(*[c for c in rows.columns if c != "owns"], F.inline("owns"))

@@ -602,7 +602,8 @@ def reply_chain(spark, d):
             if isinstance(v, dict) and v.get("Type") == "Annot":
                 yield n, v["IRT"].num if "IRT" in v else None, str(v["Subtype"])
 
-    notes = pdf.table(pdf.made(t(spark, d, "part"), ["p_partkey"], lambda: samples.annotated([4, 4, 4], [None, 0, 1])), "num long, parent long, subtype string", rows)
+    file = samples.annotated([4, 4, 4], [None, 0, 1])
+    notes = pdf.table(pdf.made(t(spark, d, "part"), ["p_partkey"], lambda: file), "num long, parent long, subtype string", rows)
     return R.replies(notes, ["doc_id"]).select("doc_id", "num", "parent")
 
 
