@@ -310,8 +310,12 @@ def flatten(spark, d):
         forms.flatten(over, 0)
         return over.save_full()
 
-    files = pdf.made(t(spark, d, "part"), ["p_partkey", "p_name"], flat)
-    return pdf.page_text(files).select("doc_id", "text").join(pdf.pages(files).select("doc_id", "n_annots"), "doc_id")
+    def rows(x: Document):
+        for p in x.pages():
+            if text := reading.page_text(x, p):
+                yield text, len(x.field(p, "Annots") or [])
+
+    return pdf.table(pdf.made(t(spark, d, "part"), ["p_partkey", "p_name"], flat), "text string, n_annots long", rows)
 
 
 @query("SELECT s_suppkey AS doc_id, r_name || '.' || n_name || '.' || s_name AS name, 'v' AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
