@@ -273,9 +273,9 @@ def xfdf_roundtrip(spark, d):
     """An annotation to XFDF, and from it into another file."""
 
     def copied(name: str, segment: str) -> bytes:
-        over = organize.Overlay(Document(text_file(["x"])))
+        over = organize.Overlay(samples.text_document("x"))
         forms.add_annotation(over, 0, "Highlight", [10, 10, 90, 30], f"{name} & <{segment}>", segment, quads=[10, 10, 90, 10, 90, 30, 10, 30])
-        other = organize.Overlay(Document(text_file(["y"])))
+        other = organize.Overlay(samples.text_document("y"))
         forms.import_xfdf(other, forms.annotations_xfdf(Document(over.save_incremental())))
         return other.save_incremental()
 
