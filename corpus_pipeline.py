@@ -52,16 +52,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return renamed(keep_ids(own, kept, name).unionByName(own.where(F.col(name).isNull())), docs)
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, words: bool = False) -> DataFrame:
     """Bytes in 400-byte strings that occur elsewhere too go; characters cut in half go whole. A null text
-    stays null; texts that lose nothing stay as they are; a text may lose all and stay, empty."""
+    stays null; texts that lose nothing stay as they are; a text may lose all and stay, empty. words: so do
+    runs of 50 words that occur elsewhere, however few bytes these have."""
     own, at = numbered(docs)
     name, text, n_chars = at["doc_id"], at["text"], at["n_chars"]
     rest = tuple(c for c in own.columns if c not in (name, text, n_chars))
-    out = suffix_dedup.remove_repeats(own, name, text, carry=rest, as_text=True).withColumnRenamed("kept", text)
+    out = suffix_dedup.remove_repeats(own, name, text, carry=rest, as_text=True, words=words).withColumnRenamed("kept", text)
     return renamed(out.withColumn(n_chars, F.length(text).cast(dict(own.dtypes)[n_chars])), docs)
 
 
+def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark, docs, sf_dir, words=True)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (whole copies; documents without a word go). Equal rows
     are rounded together and each copy is one of them; null ids and sources are values like others."""
@@ -91,7 +96,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language), ("simhash_near_dedup", near_copies), ("suffix_array_dedup", repeated_passages),
+    ("language_id", language), ("simhash_near_dedup", near_copies), ("suffix_array_dedup", shared_passages),
     ("mixing", mixture), ("bpe", tokens),
 ]
 

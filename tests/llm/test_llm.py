@@ -99,6 +99,46 @@ def test_shared_passages(spark):
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(raws[r.doc_id]), int(mark[:-1].sum()), hashlib.sha256(kept).hexdigest())
 
 
+def slow_passages(texts, n=50, span=400):
+    """Texts without the bytes in n words or span bytes that occur elsewhere too."""
+    raws = [(t or "").encode() for t in texts]
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raws]
+    keys = [[b" ".join(r[s:e] for s, e in a[i : i + n]) for i in range(len(a) - n + 1)] for r, a in zip(raws, at)]
+    windows = [[(k, a[i][0], a[i + n - 1][1]) for i, k in enumerate(ks)] for ks, a in zip(keys, at)]
+    for r, own in zip(raws, windows):
+        own += [(b"\n" + r[i : i + span], i, i + span) for i in range(len(r) - span + 1)]
+    counts = collections.Counter(k for own in windows for k, _, _ in own)
+    out = []
+    for r, own in zip(raws, windows):
+        hit = np.zeros(len(r), bool)
+        for k, s, e in own:
+            hit[s:e] |= counts[k] > 1
+        out.append(np.frombuffer(r, np.uint8)[~hit].tobytes().decode("utf-8", "ignore"))
+    return out
+
+
+def test_stage_removes_passages_of_fifty_words(spark, monkeypatch):
+    """Runs of 49 to 60 words, of far under and over 400 bytes, whatever white space is between the words, in
+    one text or several; 49 stay. Other texts stay as they are."""
+    import corpus_pipeline as p
+
+    short = [" ".join(np.random.default_rng(800 + i).choice(["a", "at", "to", "é", "日本"], n)) for i, n in enumerate((49, 50, 51, 60))]
+    runs = [*short, *(prose(n, 810 + n) for n in (49, 50, 55, 60)), prose(75, 830)]
+    spaced = lambda t, k: re.sub(" ", ["  ", "\t", "\n"][k % 3], t) if k % 4 == 3 else t
+    texts = [f"{prose(k % 3 * 20, 20_000 + k)} {spaced(runs[k % 9], k)} {prose(k % 4 * 15, 30_000 + k)}" for k in range(90)]
+    texts += [prose(60, 40_000 + k) for k in range(20)] + ["at " * 49, "to " * 51, f"{prose(9, 1)} {short[1]} x {short[1]}", "", " \n", " a" * 120 + "\n", "ab " * 60 + "cd " * 60]
+    own = list(texts)
+    d = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)] + [(-1, None, None)], "doc_id long, text string, n_chars long")
+    want = slow_passages(own)
+    assert sum(a != b for a, b in zip(own[:90], want)) == 70 and want[90:110] == own[90:110]
+    for limit in (suffix_dedup.RUN_LIMIT, 4):
+        monkeypatch.setattr(p.suffix_dedup.remove_repeats, "__defaults__", tuple(limit if x == suffix_dedup.RUN_LIMIT else x for x in suffix_dedup.remove_repeats.__defaults__))
+        got = {r.doc_id: r for r in dict(p.STAGES)["suffix_array_dedup"](spark, d, "").collect()}
+        assert got.pop(-1).text is None
+        assert [got[i].text for i in range(len(want))] == want and all(r.n_chars == len(r.text) for r in got.values())
+        monkeypatch.undo()
+
+
 def slow_repeats(texts, span=400):
     raws = [(t or "").encode() for t in texts]
     n = collections.Counter(r[i : i + span] for r in raws for i in range(len(r) - span + 1))
